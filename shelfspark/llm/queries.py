@@ -2,5 +2,38 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..plans.run import skew_aware, table
+from . import leaks, lookalike
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 4: kits whose name only looks like a name of the catalogue."""
+    skew_aware(spark)
+    kits, items = table(spark, d, "kit").select("id", "name"), table(spark, d, "catalog_gunpla").select("nameJa", "nameKo")
+    return lookalike.same_look(kits, "name", items, "nameJa", "nameKo").select(F.col("id").alias("kit_id")).distinct()
+
+
+def p4_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 4: every name of the tables in its one form, with the ways it is written."""
+    names = [table(spark, d, t).select(F.col(c).alias("text")) for t, c in (("kit", "name"), ("catalog_gunpla", "nameJa"), ("catalog_gunpla", "nameKo"), ("mall_good", "name"), ("arrival_row", "name"))]
+    both = names[0]
+    for n in names[1:]:
+        both = both.unionByName(n)
+    return lookalike.forms(both, "text")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 6: documents with passages of evaluation items."""
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 6: which items leaked, and into how many documents."""
+    return p6_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_forms, p6_found, p6_items)}
 ORACLES: dict[str, str] = {}
