@@ -5,7 +5,8 @@ passage is set out. A passage of ``span`` letters with at most ``budget`` edits,
 has one piece without an edit (pigeonhole). Pieces at every offset of every item go into an Aho-Corasick
 automaton; each document is scanned once. An exact hit is a seed. A seed is verified by Myers' bit-parallel
 distance, for many seeds at once: first the 3 pieces' length that the passage must have on one side of it,
-then every window of ``span`` letters that holds the seed. A passage that other text cuts into is put together
+then every window of ``span`` letters that holds the seed. Items of one test share phrases; a window is an item's
+passage only if its edits are few beside the letters that it shares with no other item. A passage that other text cuts into is put together
 from fragments that follow each other in the item and in the document.
 """
 
@@ -33,37 +34,48 @@ def letters(text: str) -> str:
     return _NOT_LETTERS.sub("", one_form(MARKUP.sub(" ", text)).lower())
 
 
-def distances(patterns: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """Myers' bit-parallel distance, row by row: the least edits that turn a pattern (at most 64 codes) into some
-    substring of its text. Codes below 0 in texts match nothing."""
-    n, m = patterns.shape
-    out = np.empty(n, np.int32)
-    bits = np.uint64(1) << np.arange(m, dtype=np.uint64)
-    one, top = np.uint64(1), np.uint64(m - 1)
-    for lo in range(0, n, 8192):
-        p, t = patterns[lo : lo + 8192], texts[lo : lo + 8192]
-        pv = np.full(len(p), np.uint64(2**m - 1 if m < 64 else 2**64 - 1))
-        mv = np.zeros(len(p), np.uint64)
-        score = np.full(len(p), m, np.int32)
+def distances(bitmap: np.ndarray, start: np.ndarray, m: int, texts: np.ndarray) -> np.ndarray:
+    """Myers' bit-parallel distance for many pairs: the least edits that turn the ``m`` (at most 64) letters from
+    each start into some substring of its text. ``bitmap`` has a row of bits for each letter, set where it
+    stands; the masks of a pattern are cut out of it. ``texts`` holds the letters' row numbers."""
+    words = bitmap.shape[1]
+    flat = bitmap.ravel()
+    out = np.empty(len(start), np.int32)
+    one, top, full = np.uint64(1), np.uint64(m - 1), np.uint64(2**m - 1 if m < 64 else 2**64 - 1)
+    for lo in range(0, len(start), CHUNK):
+        at = start[lo : lo + CHUNK] + 64  # the first word is empty, for starts before the first letter
+        word, low = at >> 6, (at & 63).astype(np.uint64)
+        high = np.uint64(63) - low
+        t = np.ascontiguousarray(texts[lo : lo + CHUNK].T) * words
+        pv, mv = np.full(len(at), full), np.zeros(len(at), np.uint64)
+        score = np.full(len(at), m, np.int32)
         best = score.copy()
-        for j in range(t.shape[1]):
-            eq = ((p == t[:, j : j + 1]) * bits).sum(axis=1, dtype=np.uint64)
+        for column in t:
+            k = column + word
+            eq = ((flat[k] >> low) | (flat[k + 1] << one << high)) & full
             xv = eq | mv
             xh = (((eq & pv) + pv) ^ pv) | eq
             ph, mh = mv | ~(xh | pv), pv & xh
-            score += ((ph >> top) & one).astype(np.int32) - ((mh >> top) & one).astype(np.int32)
+            score += ((ph >> top) & one).view(np.int64).astype(np.int32)
+            score -= ((mh >> top) & one).view(np.int64).astype(np.int32)
             ph, mh = ph << one, mh << one
             pv, mv = mh | ~(xv | ph), ph & xv
             np.minimum(best, score, out=best)
-        out[lo : lo + 8192] = best
+        out[lo : lo + CHUNK] = best
     return out
 
 
+CHUNK = 4096
+
+
 def cut(codes: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-    """Rows of ``length`` codes from each start; -1 outside."""
-    at = start[:, None] + np.arange(length)
-    inside = (at >= 0) & (at < len(codes))
-    return np.where(inside, codes[np.clip(at, 0, max(len(codes) - 1, 0))], -1)
+    """Rows of ``length`` codes from each start; 0, which no item has, outside."""
+    padded = np.concatenate([np.zeros(PAD, codes.dtype), codes, np.zeros(PAD + length, codes.dtype)])
+    return np.lib.stride_tricks.sliding_window_view(padded, length)[np.clip(start + PAD, 0, len(padded) - length)]
+
+
+PAD = 256
+SHORT, OWN = 5, 3  # letters that several items share are the test's manner: an edit needs OWN letters that they don't
 
 
 @dataclass
@@ -95,17 +107,30 @@ class Finder:
                 grams[text[i : i + self.piece]].append(at + i)
             parts.append(text)
             at += len(text) + 1  # one code between items
-        self.codes = np.array([ord(c) for c in "\0".join(parts)] or [0], np.int32)
-        self.codes[self.codes == 0] = -2
+        joined = "\0".join(parts)
+        self.length = len(joined)
+        self.rows = {c: k for k, c in enumerate(sorted({*joined} - {"\0"}), 1)}
+        self.table = np.zeros(0x110000, np.int32)
+        for c, k in self.rows.items():
+            self.table[ord(c)] = k
+        spots = self.coded(joined)
+        bits = np.zeros((len(self.rows) + 1, (self.length // 64 + 4) * 64), bool)
+        bits[spots, np.arange(self.length) + 64] = spots > 0
+        self.bitmap = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
         self.offset = np.array(self.offset or [0])
         self.counts = np.array([len(x) for x in grams.values()] or [0])
         self.firsts = np.concatenate([[0], np.cumsum(self.counts)])
         self.where = np.array([i for x in grams.values() for i in x] or [0])
-        owner = np.searchsorted(self.offset, self.where, "right")
-        alone = np.array([len({*owner[a:b]}) == 1 for a, b in zip(self.firsts[:-1], self.firsts[1:], strict=True)] or [False])
-        self.own = np.zeros(len(self.codes) + 1, np.int64)  # pieces that no other item has, counted up to each place
-        self.own[1 + self.where] = np.repeat(alone, self.counts)
-        self.own = np.cumsum(self.own)
+        of: dict[str, set[int]] = defaultdict(set)
+        for k, text in enumerate(parts):
+            for i in range(len(text) - SHORT + 1):
+                of[text[i : i + SHORT]].add(k)
+        own = np.ones(self.length + SHORT, np.int64)
+        for k, text in enumerate(parts):
+            for i in range(len(text) - SHORT + 1):
+                if len(of[text[i : i + SHORT]]) > 1:
+                    own[self.offset[k] + i : self.offset[k] + i + SHORT] = 0
+        self.own = np.concatenate([[0], np.cumsum(own)])  # letters of the item's own, up to each place
         self.trie = ahocorasick.Automaton()
         for k, gram in enumerate(grams):
             self.trie.add_word(gram, k)
@@ -113,6 +138,9 @@ class Finder:
             self.trie.make_automaton()
         self._ready = bool(grams)
 
+    def coded(self, text: str) -> np.ndarray:
+        return self.table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
     def seeds(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Maximal exact runs of at least a piece: text, item, place in the items, in the texts, and length."""
         hit_text, hit_end, hit_gram = [], [], []
@@ -145,8 +173,7 @@ class Finder:
         if not self._ready:
             return set()
         text, item, i, d, n = self.seeds(texts)
-        codes = np.array([ord(c) for c in "\0".join(texts)], np.int32)
-        codes[codes == 0] = -1
+        codes = self.coded("\0".join(texts))
         found = {*zip(text[n >= self.span].tolist(), item[n >= self.span].tolist(), strict=True)}
         # both ends of a run are seeds: a passage may end within it
         p, near = self.piece, 3 * self.piece
@@ -155,26 +182,40 @@ class Finder:
         known = np.array([a * len(self.items) + b for a, b in found], np.int64)
         keep = ~np.isin(pair, known)
         seed_i, seed_d, pair = seed_i[keep], seed_d[keep], pair[keep]
-        left = distances(cut(self.codes, seed_i - near + p, near), cut(codes, seed_d - near + p - self.budget, near + self.budget)) if len(pair) else np.zeros(0)
-        right = distances(cut(self.codes, seed_i, near), cut(codes, seed_d, near + self.budget)) if len(pair) else np.zeros(0)
+        left = distances(self.bitmap, np.maximum(seed_i - near + p, -64), near, cut(codes, seed_d - near + p - self.budget, near + self.budget))
+        right = distances(self.bitmap, seed_i, near, cut(codes, seed_d, near + self.budget))
         keep = np.minimum(left, right) <= self.budget
         # Edits of a window are those left and right of its seed: one side may use up the budget, not both.
         seed_i, seed_d, pair = seed_i[keep], seed_d[keep], pair[keep]
         for lo in range(0, len(pair), 2000):
             a, b, c = seed_i[lo : lo + 2000], seed_d[lo : lo + 2000], pair[lo : lo + 2000]
             shift = np.arange(0, self.span - p + 1)
-            start = (a[:, None] - shift).ravel()
-            begin = (b[:, None] - shift - self.budget).ravel()
-            who = np.repeat(c, len(shift))
-            item_of = who % len(self.items)
-            ends = np.append(self.offset[1:] - 1, len(self.codes))
-            ok = (start >= self.offset[item_of]) & (start + self.span <= ends[item_of])
-            start, begin, who = start[ok], begin[ok], who[ok]
-            if len(who):
-                good = distances(cut(self.codes, start, self.span), cut(codes, begin, self.span + 2 * self.budget)) <= self.budget
-                found |= {(int(x) // len(self.items), int(x) % len(self.items)) for x in np.unique(who[good])}
+            start, begin = (a[:, None] - shift).ravel(), (b[:, None] - shift - self.budget).ravel()
+            edits = self._edits(codes, start, begin, np.repeat(c, len(shift)))
+            own = self.own[np.clip(start + self.span, 0, self.length)] - self.own[np.clip(start, 0, self.length)]
+            good = edits <= np.minimum(self.budget, own // OWN)
+            found |= self._pairs(np.repeat(c, len(shift))[good])
+            # Twice the span, at twice a span's edits and a half more, is plain whatever letters others share.
+            edits = edits.reshape(-1, len(shift))
+            at = edits.argmin(axis=1)
+            few = edits.min(axis=1) <= self.budget + 2
+            start, begin, c, least = (a - shift[at])[few], (b - shift[at] - self.budget)[few], c[few], edits.min(axis=1)[few]
+            for step in (-self.span, self.span):
+                good = least + self._edits(codes, start + step, begin + step - self.budget, c, 4) <= self.budget * 8 // 3
+                found |= self._pairs(c[good])
         return found | self.pieced(text, item, i, d, n, found)
 
+    def _pairs(self, pair: np.ndarray) -> set[tuple[int, int]]:
+        return {(int(x) // len(self.items), int(x) % len(self.items)) for x in np.unique(pair)}
+
+    def _edits(self, codes: np.ndarray, start: np.ndarray, begin: np.ndarray, pair: np.ndarray, room: int = 2) -> np.ndarray:
+        """Edits of the windows at ``start``; more than any budget where a window isn't within its item."""
+        ends, item = np.append(self.offset[1:] - 1, self.length), pair % len(self.items)
+        ok = (start >= self.offset[item]) & (start + self.span <= ends[item])
+        out = np.full(len(start), 4 * self.span)
+        out[ok] = distances(self.bitmap, start[ok], self.span, cut(codes, begin[ok], self.span + room * self.budget))
+        return out
+
     def pieced(self, text, item, i, d, n, found: set[tuple[int, int]]) -> set[tuple[int, int]]:  # noqa: ANN001
         """Passages put together from fragments. A fragment is a chain of exact runs with a few edits between."""
         out: set[tuple[int, int]] = set()
@@ -222,9 +263,8 @@ class Finder:
         return False
 
     def _own(self, a: int, b: int) -> bool:
-        """Whether a fragment has a piece that no other item has."""
-        b = b - self.piece + 1
-        return b > a and self.own[b] > self.own[a]
+        """Whether a fragment has letters of the item's own."""
+        return self.own[b] - self.own[a] >= OWN
 
 
 def leaked_items(

@@ -28,16 +28,19 @@ def quick_check_no(ch: str) -> bool:
 
 @cache
 def unstable_segments() -> re.Pattern:
-    """A run of unstable characters with the character before it. Built once a process, by rule."""
+    """A run of unstable characters with the character before it. Built once a process, by rule.
+
+    All characters beyond the basic plane count as unstable: few texts have them, and it keeps the class small.
+    """
     ranges: list[list[int]] = []
-    for k in range(0x30000):
+    for k in range(0x10000):
         if not 0xD800 <= k < 0xE000 and quick_check_no(chr(k)):
             if ranges and ranges[-1][1] == k - 1:
                 ranges[-1][1] = k
             else:
                 ranges.append([k, k])
-    body = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
-    return re.compile(f"(?s)[^{body}\\U000e0000-\\U000e0fff]?[{body}\\U000e0000-\\U000e0fff]+")
+    body = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in ranges) + "\\U00010000-\\U0010ffff"
+    return re.compile(f"(?s)[^{body}]?[{body}]+")
 
 
 def _segment(m: re.Match) -> str:
