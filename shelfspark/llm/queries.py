@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.run import skew_aware, table
-from . import leaks, lookalike
+from ..functions.looks import id_key
+from . import leaks, link, lookalike
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -35,5 +36,29 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
     return p6_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_forms, p6_found, p6_items)}
+def unlinked(spark: SparkSession, d: str, *, known: bool = False) -> DataFrame:
+    """Mall goods and arrival codes without a known item, or (to measure by) those with one."""
+    how = "left_semi" if known else "left_anti"
+    goods = table(spark, d, "mall_good").select(F.col("gno").alias("item_key"), "name", "price", "series")
+    goods = goods.join(table(spark, d, "mall_link").select(F.col("gno").alias("item_key")).dropna().distinct(), "item_key", how)
+    fed = table(spark, d, "feed").filter(F.col("id").startswith("jh-") & id_key(F.col("catalogId")).isNotNull())
+    fed = fed.select(F.regexp_extract("id", r"^jh-[^-]*-(.+)$", 1).alias("item_key")).filter("item_key != ''").distinct()
+    codes = table(spark, d, "arrival_row").select(F.col("code").alias("item_key"), "name", "price", F.lit(None).cast("string").alias("series"))
+    return goods.unionByName(codes.join(fed, "item_key", how))
+
+
+def p2_links(spark: SparkSession, d: str, *, known: bool = False) -> DataFrame:
+    """Problem 2: mall goods and arrival codes with their catalogue item and a confidence."""
+    skew_aware(spark)
+    catalog = table(spark, d, "catalog_gunpla")
+    records = catalog.select(F.col("id").alias("catalog_id"), F.col("nameJa").alias("name"), F.lit(None).cast("string").alias("grade"), "scale", F.col("priceJpy").alias("price"), F.col("seriesKo").alias("series"))
+    return link.link_mentions(unlinked(spark, d, known=known), records, link.series_names(catalog, "series", "seriesKo"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 2: the catalogue item of each mall good and arrival code without a known one."""
+    return p2_links(spark, d).select("item_key", "catalog_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_found, p4_forms, p6_found, p6_items)}
 ORACLES: dict[str, str] = {}
