@@ -77,7 +77,7 @@ def syllables(text: str) -> list[str]:
         elif ch in _SMALL and out:
             out[-1] = out[-1].rstrip("aiueo") + _SMALL[ch]
     if not out:
-        out = re.findall(r"(?:ts|sh|ch|[bcdfghjklmnpqrstvwxyz])?y?[aiueo]+(?:n(?![aiueoy]))?|[^aiueo\W\d]+", text.lower())
+        out = re.findall(r"(?:ts|sh|ch|[bcdfghjklmnpqrstvwxyz])?y?[aiueo]+(?:n(?![aiueo]))?|[^aiueo\W\d]+", text.lower())
     return out
 
 
@@ -95,10 +95,11 @@ class Name:
     series: str
     rest: str
     either: str  # the key if a closing syllable that may mean a variant belongs to the name; else empty
+    size: str  # in millimetres
 
 
 _SCALE = re.compile(r"(?:(?<![\d/])1 ?[/:] ?(\d{2,3})(?!\d)|(\d{2,3})분의 ?1)(?: ?스케일| ?scale)?", re.I)
-_SIZE = re.compile(r"(?:약|높이|전고|全高|約)? ?\d+(?:\.\d+)? ?(?:cm|mm|센티|밀리)", re.I)
+_SIZE = re.compile(r"(?:약|높이|전고|全高|約)? ?(\d+(?:\.\d+)?) ?(cm|mm|센티|밀리)", re.I)
 _CODE = re.compile(r"(?<![A-Za-z0-9])(?!re 100)([A-Za-z]{2,3})(?:-| (?!\d+ ?(?:분의|cm|mm|센티)))(\d{2,4})([A-Za-z]?)(?![A-Za-z0-9/:.])", re.I)
 _SET = re.compile(r"x ?(\d)\b|(\d) ?(?:개|박스|체|体|個|箱|點|点)(?: ?(?:세트|묶음|セット))?|(?<![가-힣])(두|세|네|다섯) ?개 ?(?:묶음|세트)|(?:묶음|세트|セット)", re.I)
 _COUNT = {"두": "2", "세": "3", "네": "4", "다섯": "5"}
@@ -160,7 +161,10 @@ class Parser:
         if _DECAL.search(t):
             contents.append("decal")
             t = re.sub(r"\(본체 별매\)|(?:전 ?용 ?)?(?:습 ?식 ?)?데 ?칼|(?:専用)? ?(?:水転写)? ?デカール", " ", t)
-        t = _SIZE.sub(" ", t)
+        size = ""
+        if m := _SIZE.search(t):
+            size = f"{float(m[1]) * (10 if m[2].lower() in ('cm', '센티') else 1):.0f}"
+            t = _SIZE.sub(" ", t)
         if (m := _CODE.search(t)) and m[1].lower() != "ver":
             code = f"{m[1]}{m[2].lstrip('0')}{m[3]}".upper()
             t = t[: m.start()] + " " + t[m.end() :]
@@ -204,7 +208,7 @@ class Parser:
         hangul = "".join(re.findall("[가-힣]+", t))
         body = kana if len(kana) > len(hangul) else hangul
         rest = " ".join(x for x in re.sub("[가-힣ァ-ヺー・]+", " ", t).split() if x.isalnum())
-        return Name(" ".join(syllables(body)), latin, grade, scale, code, "+".join(sorted({*map(_variant, variant)})), "+".join(sorted(contents)), series, rest, " ".join(syllables("".join(re.findall("[가-힣]+", whole)))))
+        return Name(" ".join(syllables(body)), latin, grade, scale, code, "+".join(sorted({*map(_variant, variant)})), "+".join(sorted(contents)), series, rest, " ".join(syllables("".join(re.findall("[가-힣]+", whole)))), size)
 
 
 @lru_cache(64)
@@ -244,7 +248,7 @@ def spells(key: str) -> list[str]:
     return list(dict.fromkeys([" ".join(s), *less]))
 
 
-FIELDS = "key string, latin string, grade string, scale string, code string, variant string, contents string, series string, rest string, either string"
+FIELDS = "key string, latin string, grade string, scale string, code string, variant string, contents string, series string, rest string, either string, size string"
 
 
 def parsed(names, text: str, series: tuple[str, ...], keep: tuple[str, ...]):  # noqa: ANN001, ANN201

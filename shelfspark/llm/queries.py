@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.run import skew_aware, table
 from ..functions.looks import id_key
-from . import leaks, link, lookalike
+from . import leaks, link, listings, lookalike
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -26,6 +26,18 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.forms(both, "text")
 
 
+def p5_products(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 5: each listing with the product it sells."""
+    skew_aware(spark)
+    series = link.series_names(table(spark, d, "catalog_gunpla"), "series", "seriesKo")
+    return listings.same_product(table(spark, d, "shop_listing").select("listing_id", "name", "price", "currency"), series)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 5: every two listings that sell the same product."""
+    return listings.pairs_of(p5_products(spark, d))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Problem 6: documents with passages of evaluation items."""
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item"))
@@ -60,5 +72,5 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_links(spark, d).select("item_key", "catalog_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_found, p4_forms, p6_found, p6_items)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_found, p4_forms, p5_found, p5_products, p6_found, p6_items)}
 ORACLES: dict[str, str] = {}
