@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.run import skew_aware, table
 from ..functions.looks import id_key
-from . import leaks, link, listings, lookalike
+from . import leaks, link, listings, lookalike, mixing, subjects
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -72,5 +72,33 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_links(spark, d).select("item_key", "catalog_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_found, p4_forms, p5_found, p5_products, p6_found, p6_items)}
+def p7_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 7: how often each document is used in the mix."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 7: the share that each source really got."""
+    targets = table(spark, d, "mix_target")
+    return mixing.report(mixing.mix(table(spark, d, "documents"), targets), targets)
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 8: each document's subjects with their share of its sentences."""
+    found, _ = subjects.subject_areas(table(spark, d, "documents"), table(spark, d, "subject_label"))
+    return found
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 8: each document's subjects."""
+    return p8_shares(spark, d).select("doc_id", "subject").distinct()
+
+
+def p8_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 8: the leaves of the clustering, and what they are about."""
+    _, leaves = subjects.subject_areas(table(spark, d, "documents"), table(spark, d, "subject_label"))
+    return leaves
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_found, p4_forms, p5_found, p5_products, p6_found, p6_items, p7_copies, p7_mix, p8_found, p8_shares, p8_leaves)}
 ORACLES: dict[str, str] = {}
