@@ -46,7 +46,7 @@ _INVISIBLE = re.compile(f"[{INVISIBLE}\U000e0000-\U000e0fff]+")
 
 # Text of these characters alone, single spaces inside, is its own look; the JVM tests that without Python.
 _PLAIN = "[!-~가-힣ぁ-ゖァ-ヺー・一-鿿&&[^へべぺ二八力卜口夕工]]"
-STABLE = f"^(?:{_PLAIN}+(?: {_PLAIN}+)*)?$"
+STABLE = f"^(?:{_PLAIN}+(?: {_PLAIN}+)*)?\\z"  # not $, which a closing line break passes
 
 
 def look(text: str) -> str:

@@ -2,7 +2,452 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import merge as M
+from ..operators import quality as Q
+from ..operators import ranking as R
+from ..operators import resolve as X
+from ..sources import readers, writers
 from . import problems
+from .oracles import LOOK_MACROS, P1, P3
+from .run import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(problems.QUERIES)
+ORACLES: dict[str, str] = {"p1_found": P1, "p3_found": P3}
+
+
+def query(sql: str | None):  # noqa: ANN201
+    def add(f: Callable[[SparkSession, str], DataFrame]):  # noqa: ANN202
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def day(c: str):  # noqa: ANN201
+    return F.to_date(F.col(c))
+
+
+# --- latest rows, upserts, snapshots -------------------------------------------------------------------------------
+
+@query("""SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type,
+  arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id""")
+def latest_row_per_key(spark, d):
+    return M.latest(table(spark, d, "events").select("user_id", "event_id", "event_type", "value", "ts"), ["user_id"], [F.col("ts"), F.col("event_id")]).drop("ts")
+
+
+@query("""SELECT code, arg_max(name, (postDate, CAST(post AS BIGINT), name)) AS name, arg_max(post, (postDate, CAST(post AS BIGINT), name)) AS post FROM arrival_row
+  WHERE name IS NOT NULL GROUP BY code""")
+def latest_arrival(spark, d):
+    rows = table(spark, d, "arrival_row").filter("name is not null").select("code", "name", "post", "postDate", F.col("post").cast("long").alias("n"))
+    return M.latest(rows, ["code"], [F.col("postDate"), F.col("n"), F.col("name")]).select("code", "name", "post")
+
+
+_CARDS = """WITH o AS (SELECT o_custkey AS id, min(o_totalprice) AS price, max(CAST(o_orderdate AS DATE)) AS release FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1),
+ n AS (SELECT o_custkey AS id, min(o_totalprice) AS price, max(CAST(o_orderdate AS DATE)) AS release FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY 1)"""
+
+
+def cards(spark, d):
+    orders = table(spark, d, "orders").select("o_custkey", "o_totalprice", "o_orderdate")
+    side = lambda c: orders.filter(c).groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_totalprice").alias("price"), F.max(day("o_orderdate")).alias("release"))
+    return side("o_orderdate < '1996-01-01'"), side("o_orderdate >= '1996-01-01'")
+
+
+@query(_CARDS + """ SELECT coalesce(o.id, n.id) AS id, coalesce(o.price, n.price) AS price, CAST(greatest(o.release, n.release) AS VARCHAR) AS release,
+ CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'gone' WHEN greatest(o.release, n.release) IS DISTINCT FROM o.release THEN 'changed' ELSE 'same' END AS change
+ FROM o FULL JOIN n ON o.id = n.id""")
+def card_upsert(spark, d):
+    old, new = cards(spark, d)
+    return M.upsert(old, new, ["id"], {"price": "fill", "release": "greatest"}).withColumn("release", F.col("release").cast("string"))
+
+
+@query(_CARDS + " SELECT count(*) AS changed FROM n WHERE FALSE")
+def card_upsert_again(spark, d):
+    """Idempotence: merging the same rows again changes none."""
+    old, new = cards(spark, d)
+    rules = {"price": "fill", "release": "greatest"}
+    once = M.upsert(old, new, ["id"], rules).drop("change")
+    return M.upsert(once, new, ["id"], rules).agg(F.count_if(F.col("change").isin("added", "changed")).alias("changed"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, min(l_quantity) AS q FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01'
+ AND l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01') GROUP BY 1, 2""")
+def append_missing_pairs(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
+    old = rows.filter("l_shipdate < '1997-01-01'")
+    new = rows.filter("l_shipdate >= '1997-01-01'").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"))
+    return M.append_new(old, new, ["l_orderkey"]) if False else new.join(old.select("l_orderkey").distinct(), "l_orderkey", "left_anti")
+
+
+_MONTHS = """WITH m AS (SELECT DISTINCT l_suppkey AS s, strftime(l_shipdate, '%Y-%m') AS month FROM lineitem),
+ n AS (SELECT month, count(*) AS n, lag(count(*)) OVER (ORDER BY month) AS before FROM m GROUP BY month)"""
+
+
+def months(spark, d):
+    m = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.date_format("l_shipdate", "yyyy-MM").alias("month")).distinct()
+    n = m.groupBy("month").agg(F.count("*").alias("n"))
+    return m, n.withColumn("before", F.lag("n").over(Window.orderBy("month")))  # one row a month
+
+
+@query(_MONTHS + " SELECT month, n, n > 0 AND n >= 0.5 * coalesce(before, 0) AS healthy FROM n")
+def snapshot_health(spark, d):
+    _, n = months(spark, d)
+    return n.select("month", "n", M.healthy(F.col("n"), F.col("before"), F.lit(True)).alias("healthy"))
+
+
+@query("""WITH m AS (SELECT gno, min(first) AS first, max(seen) AS seen FROM mall_good GROUP BY gno), t AS (SELECT max(seen) AS t FROM mall_good)
+ SELECT gno, first, seen, seen < t AS ended FROM m, t""")
+def snapshot_absorb(spark, d):
+    goods = table(spark, d, "mall_good").groupBy("gno").agg(F.min("first").alias("first"), F.max("seen").alias("seen"))
+    last = goods.agg(F.max("seen").alias("t"))
+    return goods.join(F.broadcast(last)).select("gno", "first", "seen", (F.col("seen") < F.col("t")).alias("ended"))
+
+
+@query("""WITH c AS (SELECT id, max(nameKoJoy) AS joy, max(nameKoAi) AS ai, max(nameKo) AS ko FROM catalog_gunpla GROUP BY id),
+ n AS (SELECT id, CASE WHEN trim(joy) <> '' THEN joy END AS joy, CASE WHEN trim(ai) <> '' THEN ai END AS ai, CASE WHEN trim(ko) <> '' THEN ko END AS ko FROM c)
+ SELECT id, coalesce(joy, ai, ko) AS name, CASE WHEN joy IS NOT NULL THEN 'joy' WHEN ai IS NOT NULL THEN 'ai' WHEN ko IS NOT NULL THEN 'ko' END AS source FROM n""")
+def source_precedence_name(spark, d):
+    c = table(spark, d, "catalog_gunpla").groupBy("id").agg(F.max("nameKoJoy").alias("joy"), F.max("nameKoAi").alias("ai"), F.max("nameKo").alias("ko"))
+    return M.precedence(c, ["joy", "ai", "ko"], "name", "source").select("id", "name", "source")
+
+
+_OVERRIDES = [(1, None), (2, 7), (3, 9), (999999999, 5)]
+
+
+@query("""WITH o(k, t) AS (VALUES (1, NULL), (2, 7), (3, 9), (999999999, 5)), l AS (SELECT p_partkey AS k, p_size AS t FROM part)
+ SELECT coalesce(l.k, o.k) AS part, CAST(CASE WHEN o.k IS NOT NULL THEN o.t ELSE l.t END AS INTEGER) AS target FROM l FULL JOIN o ON l.k = o.k
+ WHERE CASE WHEN o.k IS NOT NULL THEN o.t ELSE l.t END IS NOT NULL""")
+def override_links(spark, d):
+    links = table(spark, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_size").alias("target"))
+    return M.forced(links, spark.createDataFrame(_OVERRIDES, "part long, target int"), "part", "target")
+
+
+@query("""WITH c AS (SELECT id, max(series) AS series, max(grade) AS grade FROM catalog_gunpla GROUP BY id), k AS (SELECT DISTINCT id, catalogId, series, grade FROM kit)
+ SELECT k.id AS id, CASE WHEN (k.series IS NULL OR trim(k.series) = '') AND c.series IS NOT NULL THEN c.series ELSE k.series END AS series,
+ CASE WHEN (k.grade IS NULL OR trim(k.grade) = '') AND c.grade IS NOT NULL THEN c.grade ELSE k.grade END AS grade,
+ concat_ws(',', CASE WHEN (k.series IS NULL OR trim(k.series) = '') AND c.series IS NOT NULL THEN 'series' END, CASE WHEN (k.grade IS NULL OR trim(k.grade) = '') AND c.grade IS NOT NULL THEN 'grade' END) AS filled
+ FROM k LEFT JOIN c ON k.catalogId = c.id""")
+def fill_blanks(spark, d):
+    items = table(spark, d, "catalog_gunpla").groupBy(F.col("id").alias("catalogId")).agg(F.max("series").alias("series"), F.max("grade").alias("grade"))
+    kits = table(spark, d, "kit").select("id", "catalogId", "series", "grade").distinct()
+    return M.fill_blanks(kits, items, "catalogId", ["series", "grade"]).drop("catalogId")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'moved' ELSE c_mktsegment END AS segment, c_mktsegment = 'BUILDING' AS touched FROM customer""")
+def bulk_update(spark, d):
+    hit = F.col("c_mktsegment") == "BUILDING"
+    return table(spark, d, "customer").select("c_custkey", F.when(hit, "moved").otherwise(F.col("c_mktsegment")).alias("segment"), hit.alias("touched"))
+
+
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM subject_label")
+def set_difference(spark, d):
+    return table(spark, d, "documents").select("doc_id").subtract(table(spark, d, "subject_label").select("doc_id"))
+
+
+@query("SELECT count(*) AS n FROM (SELECT id FROM excluded INTERSECT SELECT id FROM catalog_gunpla)")
+def intersect_count(spark, d):
+    return table(spark, d, "excluded").select("id").intersect(table(spark, d, "catalog_gunpla").select("id")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH f AS (SELECT id, min(added) AS added, max(titleKo) AS titleKo, max(title) AS title FROM feed GROUP BY id) SELECT id, added, coalesce(titleKo, title) AS title FROM f
+ WHERE id NOT IN (SELECT f2.id FROM feed f2 JOIN excluded e ON f2.catalogId = e.id) ORDER BY added DESC, id DESC LIMIT 1000""")
+def feed_merge_cap(spark, d):
+    feed = table(spark, d, "feed").select("id", "added", "titleKo", "title", "catalogId")
+    gone = feed.join(table(spark, d, "excluded").select(F.col("id").alias("catalogId")).distinct(), "catalogId", "left_semi").select("id").distinct()
+    rows = feed.groupBy("id").agg(F.min("added").alias("added"), F.max("titleKo").alias("titleKo"), F.max("title").alias("title")).join(gone, "id", "left_anti")
+    return rows.orderBy(F.desc("added"), F.desc("id")).limit(1000).select("id", "added", F.coalesce("titleKo", "title").alias("title"))
+
+
+@query("""WITH c AS (SELECT id, max(nameKo) AS nameKo FROM catalog_gunpla GROUP BY id), k AS (SELECT catalogId, count(DISTINCT id) AS kits FROM kit WHERE catalogId IS NOT NULL GROUP BY 1),
+ f AS (SELECT DISTINCT id, catalogId, titleKo, title FROM feed) SELECT f.id AS id, coalesce(f.titleKo, c.nameKo, f.title) AS title, coalesce(k.kits, 0) AS kits FROM f LEFT JOIN c ON f.catalogId = c.id LEFT JOIN k ON f.catalogId = k.catalogId""")
+def feed_enriched(spark, d):
+    items = table(spark, d, "catalog_gunpla").groupBy(F.col("id").alias("catalogId")).agg(F.max("nameKo").alias("nameKo"))
+    kits = table(spark, d, "kit").filter("catalogId is not null").groupBy("catalogId").agg(F.count_distinct("id").alias("kits"))
+    feed = table(spark, d, "feed").select("id", "catalogId", "titleKo", "title").distinct()
+    both = feed.join(items, "catalogId", "left").join(kits, "catalogId", "left")
+    return both.select("id", F.coalesce("titleKo", "nameKo", "title").alias("title"), F.coalesce("kits", F.lit(0)).alias("kits"))
+
+
+# --- scalars and classification ------------------------------------------------------------------------------------
+
+@query("""SELECT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') AS form FROM documents""")
+def search_form(spark, d):
+    return table(spark, d, "documents").select("doc_id", S.search_form(F.col("text")).alias("form"))
+
+
+@query("""SELECT DISTINCT name, nullif(regexp_extract(' ' || name || ' ', '[^0-9/](1/[0-9]{1,4})[^0-9]', 1), '') AS scale FROM arrival_row WHERE name IS NOT NULL""")
+def scale_of_name(spark, d):
+    return table(spark, d, "arrival_row").select("name").dropna().distinct().withColumn("scale", S.scale_of(F.col("name")))
+
+
+@query(None)
+def model_tokens(spark, d):
+    """Model numbers of arrivals; lookbehind, so no SQL here."""
+    names = table(spark, d, "arrival_row").select("name").dropna().distinct()
+    return names.select(F.explode(S.model_tokens(F.col("name"))).alias("model")).groupBy("model").agg(F.count("*").alias("names"))
+
+
+@query("""SELECT p_partkey, list_sort(list_filter(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]+'), lambda x: regexp_matches(x, '[0-9]') OR regexp_matches(x, '^(i{1,3}|iv|vi{0,3}|ix|x)$') OR length(x) <= 3)) AS runs FROM part""")
+def short_runs(spark, d):
+    return table(spark, d, "part").select("p_partkey", S.short_runs(F.concat_ws(" ", "p_name", "p_type")).alias("runs"))
+
+
+_TYPES = [("(?i)promo", None), ("(?i)^(economy|small)", "low"), ("(?i)^(standard|medium)", "mid"), ("(?i)^(large|premium)", "high")]
+
+
+@query("""SELECT p_partkey, CASE WHEN regexp_matches(p_type, '(?i)promo') THEN NULL WHEN regexp_matches(p_type, '(?i)^(economy|small)') THEN 'low'
+ WHEN regexp_matches(p_type, '(?i)^(standard|medium)') THEN 'mid' WHEN regexp_matches(p_type, '(?i)^(large|premium)') THEN 'high' END AS class FROM part""")
+def pattern_ladder(spark, d):
+    return table(spark, d, "part").select("p_partkey", S.ladder(F.col("p_type"), _TYPES).alias("class"))
+
+
+_DIM = [("hg", "gunpla", 1), ("mg", "gunpla", 1), ("pb_hg", "gunpla", 0), ("girl", "girl", 1)]
+
+
+@query("""WITH dim(k, line, graded) AS (VALUES ('hg','gunpla',1),('mg','gunpla',1),('pb_hg','gunpla',0),('girl','girl',1)),
+ e AS (SELECT DISTINCT id, unnest(brandKeys) AS k FROM catalog_gunpla)
+ SELECT e.id AS id, CASE WHEN bool_or(dim.line = 'girl') THEN 'girl' WHEN bool_or(dim.line = 'gunpla') THEN 'gunpla' END AS line, count(*) FILTER (WHERE dim.k IS NULL) AS unknown FROM e LEFT JOIN dim ON e.k = dim.k GROUP BY e.id""")
+def vote_by_keys(spark, d):
+    dim = spark.createDataFrame(_DIM, "k string, line string, graded int")
+    keys = table(spark, d, "catalog_gunpla").select("id", F.explode("brandKeys").alias("k")).distinct()
+    got = keys.join(F.broadcast(dim), "k", "left").groupBy("id")
+    return got.agg(F.when(F.bool_or(F.col("line") == "girl"), "girl").when(F.bool_or(F.col("line") == "gunpla"), "gunpla").alias("line"), F.count_if(F.col("line").isNull()).alias("unknown"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN CAST(l.d AS DATE) - CAST(o_orderdate AS DATE) >= 60 THEN 'again' ELSE 'new' END AS kind,
+ CASE WHEN CAST(l.d AS DATE) - last_day(CAST(o_orderdate AS DATE)) >= 60 THEN 'again' ELSE 'new' END AS month_kind FROM orders JOIN (SELECT l_orderkey, max(l_shipdate) AS d FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey""")
+def again_after_60_days(spark, d):
+    last = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max(day("l_shipdate")).alias("d"))
+    both = table(spark, d, "orders").select("o_orderkey", day("o_orderdate").alias("o")).join(last, "o_orderkey")
+    kind = lambda since: F.when(F.date_diff("d", since) >= 60, "again").otherwise("new")
+    return both.select("o_orderkey", kind(F.col("o")).alias("kind"), kind(F.last_day("o")).alias("month_kind"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS near, 1 + o_orderkey % 12 AS m, 1 + o_orderkey % 31 AS dd FROM orders),
+ c AS (SELECT o_orderkey, near, try_cast(printf('%d-%02d-%02d', year(near) + y, m, dd) AS DATE) AS c FROM o, (VALUES (-1), (0), (1)) v(y)),
+ r AS (SELECT o_orderkey, c, abs(c - near) AS off, row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(c - near), c) AS k FROM c WHERE c IS NOT NULL)
+ SELECT o.o_orderkey AS o_orderkey, CAST(CASE WHEN off <= 60 THEN c END AS VARCHAR) AS day FROM o LEFT JOIN r ON o.o_orderkey = r.o_orderkey AND k = 1""")
+def date_inference(spark, d):
+    said = F.concat(1 + F.col("o_orderkey") % 12, F.lit("/"), 1 + F.col("o_orderkey") % 31)
+    return table(spark, d, "orders").select("o_orderkey", S.nearest_year(said, day("o_orderdate")).cast("string").alias("day"))
+
+
+@query("""SELECT o_custkey, generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), INTERVAL 1 MONTH).list_transform(lambda x: strftime(x, '%Y-%m')) AS months FROM orders GROUP BY 1""")
+def month_sequence(spark, d):
+    span = table(spark, d, "orders").groupBy("o_custkey").agg(F.min(day("o_orderdate")).alias("a"), F.max(day("o_orderdate")).alias("b"))
+    return span.select("o_custkey", S.month_range(F.col("a"), F.col("b")).alias("months"))
+
+
+@query("""SELECT DISTINCT id, CASE WHEN date LIKE '____-__-__' THEN date WHEN date LIKE '____-__' THEN CAST(last_day(CAST(date || '-01' AS DATE)) AS VARCHAR) END AS last_day,
+ CASE WHEN date LIKE '____-__-__' THEN date WHEN date LIKE '____-__' THEN date || '-00' ELSE '' END AS key FROM feed""")
+def partial_dates(spark, d):
+    c = F.col("date")
+    return table(spark, d, "feed").select("id", S.partial_date_end(c).cast("string").alias("last_day"), S.partial_date_key(c).alias("key")).distinct()
+
+
+@query("""SELECT DISTINCT id, CASE WHEN try_cast(doneDate AS DATE) - try_cast(startDate AS DATE) + 1 >= 1 THEN CAST(try_cast(doneDate AS DATE) - try_cast(startDate AS DATE) + 1 AS INTEGER) END AS days FROM kit""")
+def build_days(spark, d):
+    as_day = lambda c: F.col(c).try_cast("date")
+    return table(spark, d, "kit").select("id", S.inclusive_days(as_day("startDate"), as_day("doneDate")).cast("int").alias("days")).distinct()
+
+
+@query("""SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '[一-鿿]'))) AS han FROM documents WHERE text IS NOT NULL""")
+def stray_characters(spark, d):
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", S.characters_not_in(F.col("text"), F.lit(""), "一-鿿").alias("han"))
+
+
+@query("""SELECT DISTINCT id, CASE WHEN url LIKE 'https://shop.example/%' OR url LIKE 'https://hobby.example/%' THEN url END AS url FROM feed""")
+def url_allow_list(spark, d):
+    return table(spark, d, "feed").select("id", S.allowed_url(F.col("url"), ["shop.example", "hobby.example"]).alias("url")).distinct()
+
+
+@query("""WITH p AS (SELECT DISTINCT id, regexp_extract(url, '^https://[^/]+(/.*)$', 1) AS path FROM catalog_gunpla)
+ SELECT id, CASE WHEN path LIKE '/item/item-%' THEN false WHEN regexp_matches(path, '^/item/.*/$') THEN true ELSE true END AS allowed FROM p""")
+def robots_longest_match(spark, d):
+    path = F.regexp_extract("url", "^https://[^/]+(/.*)$", 1)
+    rules = [(False, "/item/item-"), (True, "/item/*/$"), (False, "/admin")]
+    return table(spark, d, "catalog_gunpla").select("id", S.robots_allowed(path, rules).alias("allowed")).distinct()
+
+
+# --- rankings, counts ----------------------------------------------------------------------------------------------
+
+@query("""WITH o AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS d FROM orders), g AS (SELECT o_custkey, max(d) FILTER (WHERE d <= DATE '1997-01-01') AS last, min(d) FILTER (WHERE d > DATE '1997-01-01') AS next FROM o GROUP BY 1)
+ SELECT o_custkey, CAST(last AS VARCHAR) AS last, CAST(next AS VARCHAR) AS next, CAST(DATE '1997-01-01' - last AS INTEGER) AS since, coalesce(DATE '1997-01-01' - last <= 30, false) AS recent FROM g""")
+def recency_gap(spark, d):
+    got = R.recency(table(spark, d, "orders").select("o_custkey", day("o_orderdate").alias("d")), "o_custkey", F.col("d"), F.lit("1997-01-01").cast("date"))
+    return got.select("o_custkey", F.col("last").cast("string").alias("last"), F.col("next").cast("string").alias("next"), F.col("since").cast("int").alias("since"), "recent")
+
+
+@query("""SELECT status, count(*) AS kits, count(*) FILTER (WHERE price > 0) AS priced, sum(CASE WHEN price > 0 THEN price ELSE 0 END)::BIGINT AS spent, count(*) FILTER (WHERE doneDate LIKE '2026%') AS done_2026 FROM (SELECT DISTINCT id, status, price, doneDate FROM kit) GROUP BY status""")
+def dashboard(spark, d):
+    kits = table(spark, d, "kit").select("id", "status", "price", "doneDate").distinct()
+    paid = F.col("price") > 0
+    return kits.groupBy("status").agg(F.count("*").alias("kits"), F.count_if(paid).alias("priced"), F.sum(F.when(paid, F.col("price")).otherwise(0)).alias("spent"), F.count_if(F.col("doneDate").startswith("2026")).alias("done_2026"))
+
+
+_CHOSEN = {"o_orderstatus": "F", "c_mktsegment": "BUILDING"}
+
+
+@query("""WITH r AS (SELECT o_orderstatus AS s, o_orderpriority AS p, c_mktsegment AS m FROM orders JOIN customer ON o_custkey = c_custkey)
+ SELECT 'o_orderstatus' AS facet, s AS value, count(*) AS n FROM r WHERE m = 'BUILDING' GROUP BY s UNION ALL SELECT 'o_orderpriority', p, count(*) FROM r WHERE s = 'F' AND m = 'BUILDING' GROUP BY p
+ UNION ALL SELECT 'c_mktsegment', m, count(*) FROM r WHERE s = 'F' GROUP BY m""")
+def facet_counts_skip_one(spark, d):
+    both = table(spark, d, "orders").join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
+    return R.facet_counts(both.select("o_orderstatus", "o_orderpriority", "c_mktsegment"), ["o_orderstatus", "o_orderpriority", "c_mktsegment"], _CHOSEN)
+
+
+@query("SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM kit) GROUP BY tag")
+def tag_facets(spark, d):
+    return R.tag_counts(table(spark, d, "kit"), "tags")
+
+
+@query("""SELECT DISTINCT id, name, price FROM kit WHERE list = 'own' AND grade = 'HG' AND status = 'built' AND array_contains(tags, '선물') AND (shop IS NULL OR trim(shop) = '' OR price = 0)
+ AND contains(lower(concat_ws(' ', name, series, shop, memo)), '1/144')""")
+def collection_filter(spark, d):
+    kits = table(spark, d, "kit")
+    text = F.lower(F.concat_ws(" ", "name", "series", "shop", "memo"))
+    gap = S.blank_to_null(F.col("shop")).isNull() | (F.col("price") == 0)
+    return kits.filter((F.col("list") == "own") & (F.col("grade") == "HG") & (F.col("status") == "built") & F.array_contains("tags", "선물") & gap & text.contains("1/144")).select("id", "name", "price").distinct()
+
+
+@query("""SELECT event_id, bucket FROM (SELECT *, 'first' AS bucket FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id DESC LIMIT 50)
+ UNION ALL SELECT event_id, 'rest' FROM (SELECT * FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id DESC LIMIT 50) ORDER BY ts DESC, event_id DESC LIMIT 100)""")
+def quota_selection(spark, d):
+    rows = table(spark, d, "events").select("event_id", "event_type", "ts")
+    return R.quota(rows, F.col("event_type") == "purchase", 50, 100, [F.desc("ts"), F.desc("event_id")]).select("event_id", "bucket")
+
+
+@query("""SELECT event_id, CAST(row_number() OVER (ORDER BY ts DESC, event_id) AS INTEGER) AS rank, CAST(floor((row_number() OVER (ORDER BY ts DESC, event_id) - 1) / 10) AS INTEGER) AS chunk FROM events ORDER BY ts DESC, event_id LIMIT 30""")
+def plan_chunks(spark, d):
+    return R.chunks(table(spark, d, "events").select("event_id", "ts"), [F.desc("ts"), F.asc("event_id")], 10, 30).drop("ts")
+
+
+@query("""WITH g AS (SELECT user_id, epoch_us(ts) / 1000000.0 - lag(epoch_us(ts) / 1000000.0) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events) SELECT user_id, count(*) AS n, round(min(gap), 3) AS least_gap FROM g GROUP BY 1""")
+def min_gap(spark, d):
+    return R.gaps(table(spark, d, "events").select("user_id", "ts"), "user_id", "ts").withColumn("least_gap", F.round("least_gap", 3))
+
+
+@query("""SELECT form, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS form FROM documents) WHERE form IS NOT NULL GROUP BY form HAVING count(*) > 1""")
+def duplicate_groups(spark, d):
+    return R.duplicate_groups(table(spark, d, "documents").select("doc_id", "text"), S.spaced_form(F.col("text")), "doc_id")
+
+
+@query("""WITH c AS (SELECT nameKo AS name, coalesce(scale, '-') AS scale, count(DISTINCT id) AS n, min(id) AS target FROM catalog_gunpla WHERE nameKo IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT id) = 1)
+ SELECT DISTINCT k.id AS id, c.target AS target FROM kit k JOIN c ON k.name = c.name AND coalesce(k.scale, '-') = c.scale""")
+def unique_candidate_link(spark, d):
+    scale = F.coalesce("scale", F.lit("-")).alias("scale")
+    kits = table(spark, d, "kit").select("id", "name", scale).distinct()
+    items = table(spark, d, "catalog_gunpla").filter("nameKo is not null").select(F.col("nameKo").alias("name"), scale, F.col("id").alias("target"))
+    return R.unique_candidates(kits, items, ["name", "scale"], "id", "target").distinct()
+
+
+@query("""WITH p AS (SELECT p_partkey, regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', '', 'g') AS n FROM part),
+ s AS (SELECT p_partkey, (contains(n, 'red') OR contains(n, 'blue'))::INT + contains(n, 'part')::INT AS hits, n FROM p),
+ f AS (SELECT p_partkey, hits, round(3.0 * hits + CASE WHEN n = 'redpart' THEN 100.0 WHEN n LIKE 'redpart%' THEN 40.0 WHEN contains(n, 'redpart') THEN 20.0 ELSE 0.0 END - 0.05 * least(length(n), 60), 2)::DOUBLE AS score FROM s WHERE hits >= 1)
+ SELECT p_partkey, hits, score FROM f WHERE hits = 2 OR (SELECT max(hits) FROM f) < 2 ORDER BY score DESC, p_partkey LIMIT 30""")
+def ranked_search(spark, d):
+    return R.search(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", [["red", "blue"], ["part"]], "p_partkey")
+
+
+@query("""SELECT line, count(*) AS items, count(*) FILTER (WHERE detailAt IS NULL) AS open FROM (SELECT id, any_value(line) AS line, max(detailAt) AS detailAt FROM catalog_gunpla GROUP BY id) GROUP BY line""")
+def catalog_counts(spark, d):
+    items = table(spark, d, "catalog_gunpla").groupBy("id").agg(F.max("line").alias("line"), F.max("detailAt").alias("detailAt"))
+    return items.groupBy("line").agg(F.count("*").alias("items"), F.count_if(F.col("detailAt").isNull()).alias("open"))
+
+
+@query("""SELECT id, list_sort(list(DISTINCT list)) AS lists FROM (SELECT catalogId AS id, list FROM kit WHERE regexp_matches(catalogId, '^(bh|pb)-[A-Za-z0-9_-]{1,60}$')) GROUP BY id""")
+def owned_map(spark, d):
+    kits = table(spark, d, "kit").filter(F.col("catalogId").rlike(r"^(bh|pb)-[A-Za-z0-9_-]{1,60}\z"))
+    return kits.groupBy(F.col("catalogId").alias("id")).agg(F.array_sort(F.collect_set("list")).alias("lists"))
+
+
+# --- resolution, quality, mining -----------------------------------------------------------------------------------
+
+@query("""WITH a AS (SELECT p_partkey AS id, p_type AS b, 'x ' || p_name AS n FROM part), t AS (SELECT p_partkey AS target, p_type AS b, p_name AS m FROM part),
+ p AS (SELECT a.id, target, n, m, greatest(round(100.0 * (1 - levenshtein(n, m) / greatest(length(n), length(m))), 1), round(100.0 * (1 - levenshtein(array_to_string(list_sort(regexp_split_to_array(trim(n), '\\s+')), ' '), array_to_string(list_sort(regexp_split_to_array(trim(m), '\\s+')), ' '))
+   / greatest(length(n), length(m))), 1)) AS s, list_sort(regexp_extract_all(lower(n), '[a-z]*[0-9][a-z0-9]*')) = list_sort(regexp_extract_all(lower(m), '[a-z]*[0-9][a-z0-9]*')) AS ok FROM a JOIN t USING (b)),
+ k AS (SELECT *, rank() OVER (PARTITION BY id ORDER BY s DESC) AS r FROM p), q AS (SELECT * FROM k WHERE r <= 12),
+ w AS (SELECT *, row_number() OVER o AS k2, lead(CASE WHEN ok THEN s END) OVER o AS nxt, max(CASE WHEN NOT ok THEN s END) OVER (PARTITION BY id) AS bad FROM q WINDOW o AS (PARTITION BY id ORDER BY ok DESC, s DESC, target))
+ SELECT id, target, s AS score, round(s - coalesce(nxt, 0), 1) AS margin, CASE WHEN NOT ok OR s < 80 THEN CASE WHEN coalesce(bad, 0) >= 80 THEN 'guard' ELSE 'low-score' END WHEN round(s - coalesce(nxt, 0), 1) < 10 THEN 'ambiguous' ELSE 'linked' END AS reason FROM w WHERE k2 = 1""")
+def fuzzy_resolve(spark, d):
+    parts = table(spark, d, "part")
+    left = parts.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("b"), F.concat(F.lit("x "), "p_name").alias("name"))
+    right = parts.select(F.col("p_partkey").alias("target"), F.col("p_type").alias("b"), F.col("p_name").alias("name"))
+    return X.resolve(left, right, "b")
+
+
+@query("""SELECT item, min(gno) AS gno FROM (SELECT gno, catalogId AS item, score, rank() OVER (PARTITION BY catalogId ORDER BY score DESC) AS k FROM (SELECT DISTINCT gno, catalogId, score FROM mall_link)) WHERE k = 1 GROUP BY item""")
+def one_to_one_claims(spark, d):
+    links = table(spark, d, "mall_link").select("gno", F.col("catalogId").alias("item"), "score").distinct()
+    return X.one_to_one(links, "gno", "item", "score").select("item", "gno")
+
+
+@query("""SELECT 'positive' AS rule, count(*) FILTER (WHERE NOT coalesce(l_quantity > 0, false)) AS rows FROM lineitem UNION ALL SELECT 'discount', count(*) FILTER (WHERE NOT coalesce(l_discount BETWEEN 0 AND 0.05, false)) FROM lineitem
+ UNION ALL SELECT 'flag', count(*) FILTER (WHERE NOT coalesce(l_returnflag IN ('A', 'N'), false)) FROM lineitem""")
+def schema_violations(spark, d):
+    rules = {"positive": F.col("l_quantity") > 0, "discount": F.col("l_discount").between(0, 0.05), "flag": F.col("l_returnflag").isin("A", "N")}
+    return Q.violations(table(spark, d, "lineitem"), rules)
+
+
+@query("SELECT post, code, count(*) AS n FROM arrival_row GROUP BY 1, 2 HAVING count(*) > 1")
+def repeated_keys(spark, d):
+    return Q.repeated_keys(table(spark, d, "arrival_row"), ["post", "code"])
+
+
+@query("""WITH t(term) AS (VALUES ('계약'), ('試験'), ('photo'), ('1/144')) SELECT term, count(*) AS rows FROM documents JOIN t ON contains(text, term) GROUP BY term""")
+def glossary_containment(spark, d):
+    return Q.glossary_hits(table(spark, d, "documents"), "text", ["계약", "試験", "photo", "1/144"])
+
+
+@query(None)
+def term_mining(spark, d):
+    """Closed kana substrings of the catalogue's names with their document counts; compared with brute force in tests."""
+    items = table(spark, d, "catalog_gunpla").select("id", "series").dropna().distinct()
+    return Q.closed_terms(items, "id", F.regexp_extract_all("series", F.lit("([ァ-ヺー]{3,40})"), 1))
+
+
+# --- sources and sinks ---------------------------------------------------------------------------------------------
+
+@query("""SELECT doc_id, count(*) FILTER (WHERE trim(x) <> '') AS lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) GROUP BY doc_id""")
+def text_lines(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("x"))
+    return lines.groupBy("doc_id").agg(F.count_if(F.trim("x") != "").alias("lines"))
+
+
+@query("""SELECT DISTINCT id, code, name FROM (SELECT post AS id, code, name, row_number() OVER (PARTITION BY post, code ORDER BY name) AS k FROM arrival_row WHERE name IS NOT NULL AND regexp_matches(code, '^BD[0-9]{7}$')) WHERE k = 1""")
+def line_record_parse(spark, d):
+    """Records written as lines and read again: code and name of each post's arrivals."""
+    rows = table(spark, d, "arrival_row").filter("name is not null").groupBy("post", "code").agg(F.min("name").alias("name"))
+    line = F.concat_ws("\n", "code", F.regexp_replace("name", r"[\r\n]+", " "))
+    posts = rows.groupBy(F.col("post").alias("id")).agg(F.concat_ws("\n", F.array_sort(F.collect_list(line))).alias("text"))
+    got = readers.line_records(posts, "id", "text", r"^BD\d{7}$", r"^[\d,]+원?$").drop("price")
+    return got.join(rows.select(F.col("post").alias("id"), "code", F.col("name").alias("whole")), ["id", "code"]).select("id", "code", F.col("whole").alias("name"))
+
+
+@query("""SELECT DISTINCT concat_ws(', ', id) AS "Id", coalesce(name, '') AS "Name", coalesce(CASE WHEN price <> 0 THEN CAST(price AS VARCHAR) END, '') AS "Price", array_to_string(coalesce(tags, []), ', ') AS "Tags" FROM kit""")
+def export_rows(spark, d):
+    return writers.export_rows(table(spark, d, "kit").select("id", "name", "price", "tags").distinct(), {"id": "Id", "name": "Name", "price": "Price", "tags": "Tags"})
+
+
+@query("""SELECT DISTINCT gno, CASE WHEN soldOut THEN 'soldout' ELSE cate END AS file FROM mall_good""")
+def routed_files(spark, d):
+    return table(spark, d, "mall_good").select("gno", F.when(F.col("soldOut"), "soldout").otherwise(F.col("cate")).alias("file")).distinct()
+
+
+@query(None)
+def page_parse(spark, d):
+    """Pages made of the catalogue's items, parsed again."""
+    items = table(spark, d, "catalog_gunpla").select("id", "url", "nameJa").dropDuplicates(["id"])
+    html = F.concat(F.lit("<html lang='ja'><title>"), "id", F.lit("</title><h1>"), "nameJa", F.lit("</h1><a href='"), "url", F.lit("'>x</a></html>"))
+    got = items.select("id", readers.page(html).alias("p"))
+    return got.select("id", "p.title", "p.h1", "p.lang", F.size("p.links").alias("links"))
+
 
-QUERIES = {**problems.QUERIES}
-ORACLES: dict[str, str] = {}
+__all__ = ["LOOK_MACROS", "ORACLES", "QUERIES"]
