@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.oracles import look_sql
 from ..plans.run import skew_aware, table
 from ..functions.looks import id_key
 from . import leaks, link, listings, lookalike, mixing, subjects
@@ -101,4 +102,8 @@ def p8_leaves(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_found, p4_forms, p5_found, p5_products, p6_found, p6_items, p7_copies, p7_mix, p8_found, p8_shares, p8_leaves)}
-ORACLES: dict[str, str] = {}
+_TEXTS = "SELECT nameJa AS t FROM catalog_gunpla UNION SELECT nameKo FROM catalog_gunpla"
+ORACLES: dict[str, str] = {
+    "p4_found": f"""WITH c AS ({_TEXTS}), k AS (SELECT DISTINCT id, name FROM kit WHERE name IS NOT NULL)
+ SELECT DISTINCT id AS kit_id FROM k WHERE {look_sql("name")} IN (SELECT {look_sql("t")} FROM c WHERE t IS NOT NULL) AND name NOT IN (SELECT t FROM c WHERE t IS NOT NULL)""",
+}
