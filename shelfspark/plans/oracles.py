@@ -36,9 +36,6 @@ def look_sql(c: str) -> str:
     return f"trim(regexp_replace({x}, ' +', ' ', 'g'))"
 
 
-LOOK_MACROS = look_sql
-
-
 def _id(c: str) -> str:
     x = f"lower({look_sql(c)})"
     return f"CASE WHEN {x} NOT IN ('', 'null') THEN {x} END"
