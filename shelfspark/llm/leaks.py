@@ -235,9 +235,9 @@ class Finder:
 
     def _chains(self, runs: list[tuple[int, int, int]]) -> bool:
         """Whether runs (place in item, in text, length; in order of the item) chain to a passage of span letters."""
-        best: list[tuple[int, int, int, int]] = []  # letters, edits, where the last fragment began, cuts
+        best: list[tuple[int, int, int, int, int]] = []  # letters, edits, where the last fragment began, cuts, own letters before it
         for k, (i, d, n) in enumerate(runs):
-            state = (n, 0, i, 0)
+            state = (n, 0, i, 0, 0)
             for j in range(k - 1, -1, -1):
                 pi, pd, pn = runs[j]
                 skip, jump = i - pi - pn, d - pd - pn
@@ -246,25 +246,25 @@ class Finder:
                 lap = max(0, -skip, -jump)  # runs may share letters
                 if lap >= min(n, pn) or jump < -pn:
                     continue
-                letters_, edits, began, cuts = best[j]
+                letters_, edits, began, cuts, own = best[j]
                 if jump - skip <= self.budget and jump > -self.piece:
-                    cost, new = max(abs(jump - skip), skip if skip > 0 else 0), (began, cuts)
-                elif 0 < jump <= self.gap and -self.piece < skip <= 3 and pi + pn - began >= self.least and self._own(began, pi + pn):
-                    cost, new = max(skip, 0), (i, cuts + 1)
+                    cost, new = max(abs(jump - skip), skip if skip > 0 else 0), (began, cuts, own)
+                elif 0 < jump <= self.gap and -self.piece < skip <= 3 and pi + pn - began >= self.least:
+                    cost, new = max(skip, 0), (i, cuts + 1, own + self._own(began, pi + pn))
                 else:
                     continue
                 if edits + cost > self.budget:
                     continue
                 state = max(state, (letters_ + n - lap + min(max(skip, 0), 3), edits + cost, *new))
             best.append(state)
-            got, edits, began, cuts = state
-            if got >= self.span and cuts and i + n - began >= self.least and self._own(began, i + n):
+            got, edits, began, cuts, own = state
+            if got >= self.span and cuts and i + n - began >= self.least and own + self._own(began, i + n) >= 2 * OWN:
                 return True
         return False
 
-    def _own(self, a: int, b: int) -> bool:
-        """Whether a fragment has letters of the item's own."""
-        return self.own[b] - self.own[a] >= OWN
+    def _own(self, a: int, b: int) -> int:
+        """A fragment's letters that are the item's own."""
+        return int(self.own[b] - self.own[a])
 
 
 def leaked_items(

@@ -62,11 +62,11 @@ def link_mentions(mentions: DataFrame, records: DataFrame, series: tuple[str, ..
     """
     # What each mention says
     plain = mentions.filter("item_key is not null and name is not null")
-    each = plain.groupBy("item_key", "name").agg(F.max("price").alias("price"), said("series"))
+    each = plain.groupBy("item_key", "name").agg(F.mode("price", deterministic=True).alias("price"), said("series"))
     head = parsed(each.withColumnRenamed("series", "told"), "name", series, ("item_key", "price", "told"))
     names = cut(readings(head, "item_key", "price", "told"))
     about = names.groupBy("item_key").agg(
-        said("grade"), said("scale"), said("code"), F.max("price").alias("price"), F.mode("sure", deterministic=True).alias("variant"),
+        said("grade"), said("scale"), said("code"), F.mode("price", deterministic=True).alias("price"), F.mode("sure", deterministic=True).alias("variant"),
         F.coalesce(said("told"), said("series")).alias("series"), F.count_if(F.col("reading") == 0).alias("names"),
     )
     latin = F.when(F.col("latin") != "", F.regexp_replace("latin", " ", ""))
