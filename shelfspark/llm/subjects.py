@@ -141,29 +141,37 @@ def subject_areas(
 
     # Discriminative terms: log odds between the leaves of a subject and the rest
     by_term = docs.join(placed, "doc_id").select("leaf", F.explode(F.array_distinct("ids")).alias("t")).groupBy("leaf", "t").agg(F.count("*").alias("n"))
-    n = np.zeros((1 << BITS, len(names) + 1), np.float32)
-    with_p = by_term.groupBy("t").agg(*(F.sum(F.col("n") * F.element_at(F.array(*map(F.lit, weight[:, j].tolist())), F.col("leaf") + 1)).alias(f"s{j}") for j in range(len(names) + 1)))
-    for row in with_p.toPandas().itertuples(index=False):  # at most 2**BITS rows
-        n[row[0]] = row[1:]
-    sizes = sum(counts[f] * weight[f] for f in counts)
-    score = log_odds(n, sizes)
+    part = [F.sum(F.col("n") * F.element_at(F.array(*map(F.lit, weight[:, j].tolist())), F.col("leaf") + 1)) for j in range(len(names) + 1)]
+    n = table_of(by_term.groupBy("t").agg(*(x.cast("float").alias(f"s{j}") for j, x in enumerate(part))), len(names) + 1)
+    score = log_odds(n, sum(counts[f] * weight[f] for f in counts))
 
     # Mixtures; the second time with the terms of the sentences that went to each subject
-    for r in range(rounds):
-        if r:
-            counted = docs.mapInPandas(lambda it, s=score: sentence_terms(it, s, sure), "s int, t int, n bigint").groupBy("s", "t").agg(F.sum("n").alias("n"))
-            n = np.zeros_like(n)
-            for s, t, c in counted.toPandas().itertuples(index=False):  # at most subjects times 2**BITS rows
-                n[t, s] = c
-            sizes = np.maximum(n.max(axis=0), 1) * 0 + n.sum(axis=0)
-            score = log_odds(n, sizes)
+    for _ in range(1, rounds):
+        shared = spark.sparkContext.broadcast(score)
+        counted = docs.mapInPandas(lambda it, s=shared: sentence_terms(it, s.value, sure), "s int, t int, n bigint").groupBy("t")
+        n = table_of(counted.agg(*(F.sum(F.when(F.col("s") == j, F.col("n"))).cast("float").alias(f"s{j}") for j in range(len(names) + 1))), len(names) + 1)
+        score = log_odds(n, n.sum(axis=0, dtype=np.float64))
+        shared.unpersist()
     shared = spark.sparkContext.broadcast(score)
     found = docs.mapInPandas(lambda it: shares(it, shared.value, names, share, sure), f"doc_id {kind}, subject string, share double")
     return found, summary
 
 
+def table_of(rows: DataFrame, width: int) -> np.ndarray:
+    """(t, s0, s1, ...) as an array of 2**BITS rows; the rows are at most as many."""
+    n = np.zeros((1 << BITS, width), np.float32)
+    got = rows.toPandas()
+    n[got["t"].to_numpy()] = got.drop(columns="t").fillna(0).to_numpy(np.float32)
+    return n
+
+
 def log_odds(n: np.ndarray, sizes: np.ndarray, few: float = 3.0) -> np.ndarray:
-    """How much more frequent a term is with each subject than without it; rare terms say little."""
+    """How much more frequent a term is with each subject than without it; rare terms say little. By blocks of
+    rows, so that the driver holds little more than the result."""
+    return np.concatenate([_log_odds(n[i : i + (1 << 14)].astype(np.float64), np.asarray(sizes, np.float64), few) for i in range(0, len(n), 1 << 14)])
+
+
+def _log_odds(n: np.ndarray, sizes: np.ndarray, few: float) -> np.ndarray:
     rest, rest_sizes = n.sum(axis=1, keepdims=True) - n, sizes.sum() - sizes
     base = n.sum(axis=1, keepdims=True) / sizes.sum()
     a = (n + few * base) / (sizes + few)
