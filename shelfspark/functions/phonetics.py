@@ -1,0 +1,38 @@
+"""Sound across scripts: consonant skeletons of Katakana and Hangul words, and likeness of their letters."""
+
+from __future__ import annotations
+
+import difflib
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_ROWS = {"K": "カキクケコガギグゲゴ", "S": "サシスセソザジズゼゾ", "T": "タチツテトダヂヅデド", "N": "ナニヌネノン", "P": "ハヒフヘホバビブベボパピプペポ", "M": "マミムメモ", "R": "ラリルレロ", "Y": "ヤユヨ", "W": "ワヲ"}
+_KANA = {ch: k for k, row in _ROWS.items() for ch in row}
+_LEADS = "KKNTTRMPPSS-SSTKTPP"  # the classes of the 19 leading consonants, in their order
+_TAILS = "-KKKNNNTRRRRRRRRMPPTTNTTKTPT"  # and of the 28 closings
+
+
+def skeleton(word: str) -> str:
+    """The consonant classes of a word, each once where it follows itself; vowels don't count."""
+    out = ""
+    for ch in unicodedata.normalize("NFKC", word):
+        k = ord(ch) - 0xAC00
+        found = _LEADS[k // 588] + _TAILS[k % 28] if 0 <= k < 11172 else _KANA.get(ch, "")
+        for x in found.replace("-", ""):
+            out += x if not out.endswith(x) else ""
+    return out
+
+
+@F.pandas_udf(T.StringType())
+def sound_skeleton(s: pd.Series) -> pd.Series:
+    return s.map(skeleton, na_action="ignore")
+
+
+@F.pandas_udf(T.DoubleType())
+def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    """How much of two words' decomposed letters agree in order, from 0 to 1; null if either is null."""
+    nfd = lambda x: unicodedata.normalize("NFD", x)
+    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, nfd(x), nfd(y), False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -12,8 +12,13 @@ SCALE = r"(?<![\d/])1/\d{1,4}(?!\d)"
 MODEL = r"[A-Za-z]{1,4}-?\d{2,4}[A-Za-z]?"
 
 
+def is_blank(c: Column) -> Column:
+    """Null, or nothing but blanks of any kind."""
+    return F.coalesce(c.rlike(r"^[\s\p{Z}]*\z"), F.lit(True))
+
+
 def blank_to_null(c: Column) -> Column:
-    return F.when(F.trim(c) != "", F.trim(c))
+    return F.when(~is_blank(c), F.trim(c))
 
 
 def search_form(c: Column) -> Column:

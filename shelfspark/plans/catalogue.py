@@ -13,12 +13,12 @@ from ..operators import quality as Q
 from ..operators import ranking as R
 from ..operators import resolve as X
 from ..sources import readers, writers
-from . import problems
+from . import problems, upkeep
 from .oracles import P1, P3
 from .run import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(problems.QUERIES)
-ORACLES: dict[str, str] = {"p1_found": P1, "p3_found": P3}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = problems.QUERIES | upkeep.QUERIES
+ORACLES: dict[str, str] = upkeep.ORACLES | {"p1_found": P1, "p3_found": P3}
 
 
 def query(sql: str | None):  # noqa: ANN201

@@ -150,3 +150,21 @@ def test_windows_on_a_stream(spark, tmp_path):
         q.stop()
     assert spark.table("once").count() == 10
     assert spark.table("win").agg(F.sum("n")).first()[0] == 20
+
+
+def test_phonetics(spark):
+    from shelfspark.functions.phonetics import likeness, skeleton, sound_skeleton
+
+    assert skeleton("ソンザゲン") == skeleton("손자겐") == "SNSKN"
+    rows = spark.createDataFrame([("ザク", "자쿠"), ("ザク", None)], "a string, b string").select(sound_skeleton(F.col("a")).alias("s"), likeness(F.col("a"), F.col("b")).alias("l"))
+    got = rows.collect()
+    assert got[0].s == "SK" and got[1].l is None
+
+
+def test_every_query_plans_without_a_cross_join(spark):
+    """A broadcast of one row is fine; pairs of all rows are not."""
+    import __spark_entry__ as entry
+
+    for name in ("recency_gap", "facet_counts_skip_one", "feed_enriched", "p1_report"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+        assert "CartesianProduct" not in plan, name
