@@ -68,24 +68,46 @@ def terms(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).dropna().dropDuplicates(["doc_id"]).mapInPandas(run, f"doc_id {kind}, ids array<int>, ends array<int>")
 
 
-def vectors(docs: DataFrame, idf: np.ndarray, dims: int, seed: int) -> DataFrame:
-    """(doc_id, v): weighted terms, projected by random signs and normalised."""
+def project(ids, idf: np.ndarray, signs: np.ndarray) -> np.ndarray:  # noqa: ANN001
+    """The terms of a document, weighted, projected by random numbers and normalised."""
+    t, n = np.unique(np.asarray(ids, np.int64), return_counts=True)
+    v = (np.log1p(n) * idf[t]) @ signs[(t * 2654435761 >> 7) % len(signs)] if len(t) else np.zeros(signs.shape[1])
+    return v / (np.linalg.norm(v) or 1.0)
+
+
+def projection(dims: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((1 << 14, dims)).astype(np.float32)
+
+
+def vectors(docs: DataFrame, idf, dims: int, seed: int) -> DataFrame:  # noqa: ANN001
+    """(doc_id, v) of the documents; ``idf`` is a broadcast."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = 1 << 14
 
     def run(batches):  # noqa: ANN001, ANN202
-        signs = np.random.default_rng(seed).standard_normal((rows, dims)).astype(np.float32)
+        signs, own = projection(dims, seed), idf.value
         for b in batches:
-            out = []
-            for ids in b["ids"]:
-                t, n = np.unique(np.asarray(ids, np.int64), return_counts=True)
-                v = (np.log1p(n) * idf[t]) @ signs[(t * 2654435761 >> 7) % rows] if len(t) else np.zeros(dims)
-                out.append((v / (np.linalg.norm(v) or 1.0)).tolist())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "v": out})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "v": [project(ids, own, signs).tolist() for ids in b["ids"]]})
 
     return docs.select("doc_id", "ids").mapInPandas(run, f"doc_id {kind}, v array<double>")
 
 
+def nearest(batches, idf, centers, seed: int):  # noqa: ANN001, ANN201
+    """Each batch of documents with the leaf whose centre is nearest."""
+    c = centers.value
+    signs, own, half = projection(c.shape[1], seed), idf.value, (c * c).sum(axis=1) / 2
+    for b in batches:
+        yield b, [int((half - c @ project(ids, own, signs)).argmin()) for ids in b["ids"]]
+
+
+def counted_once(rows, width: int):  # noqa: ANN001, ANN201
+    """Sums of (terms, weights) pairs in one table of 2**BITS rows; a partition sends each term once."""
+    n = np.zeros((1 << BITS, width), np.float32)
+    for t, w in rows:
+        n[t] += w
+    t = np.flatnonzero(n.any(axis=1))
+    yield pd.DataFrame({"t": t.astype(np.int32)} | {f"s{j}": n[t, j] for j in range(width)})
+
+
 def subject_areas(
     documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", subject: str = "subject", leaves: int = 96, dims: int = 64,
     share: float = 0.24, sure: float = 1.0, rounds: int = 2, seed: int = 7,
@@ -121,10 +143,13 @@ def subject_areas(
     from pyspark.ml.clustering import BisectingKMeans
     from pyspark.ml.functions import array_to_vector
 
-    points = cut(vectors(docs, idf, dims, seed)).withColumn("features", array_to_vector("v"))
+    idf = spark.sparkContext.broadcast(idf)
+    points = vectors(docs, idf, dims, seed).select(array_to_vector("v").alias("features"))
     k = int(max(2, min(leaves, total // 20)))
-    model = BisectingKMeans(k=k, maxIter=8, seed=seed, minDivisibleClusterSize=5.0, distanceMeasure="euclidean", predictionCol="leaf").fit(points)
-    placed = cut(model.transform(points).select("doc_id", "leaf"))
+    model = BisectingKMeans(k=k, maxIter=8, seed=seed, minDivisibleClusterSize=5.0, distanceMeasure="euclidean").fit(points)
+    centers = spark.sparkContext.broadcast(np.array(model.clusterCenters(), np.float32))
+    leaf_of = lambda it: (pd.DataFrame({"doc_id": b["doc_id"], "leaf": leaf}) for b, leaf in nearest(it, idf, centers, seed))
+    placed = cut(docs.mapInPandas(leaf_of, f"doc_id {kind}, leaf int"))
 
     # What the labelled documents say of their leaves
     told = labels.select(F.col(doc_id).alias("doc_id"), F.col(subject).alias("subject")).distinct()
@@ -140,27 +165,26 @@ def subject_areas(
     summary = spark.createDataFrame([(int(f), s, float(weight[f, j]), int(counts[f])) for f in counts for j, s in enumerate([*names, None])], "leaf int, subject string, weight double, documents bigint")
 
     # Discriminative terms: log odds between the leaves of a subject and the rest
-    by_term = docs.join(placed, "doc_id").select("leaf", F.explode(F.array_distinct("ids")).alias("t")).groupBy("leaf", "t").agg(F.count("*").alias("n"))
-    part = [F.sum(F.col("n") * F.element_at(F.array(*map(F.lit, weight[:, j].tolist())), F.col("leaf") + 1)) for j in range(len(names) + 1)]
-    n = table_of(by_term.groupBy("t").agg(*(x.cast("float").alias(f"s{j}") for j, x in enumerate(part))), len(names) + 1)
-    score = log_odds(n, sum(counts[f] * weight[f] for f in counts))
+    width = len(names) + 1
+    schema = "t int, " + ", ".join(f"s{j} float" for j in range(width))
+    shared = spark.sparkContext.broadcast(weight.astype(np.float32))
+    by_leaf = lambda it, w=shared: counted_once(((np.unique(ids), w.value[f]) for b, leaf in nearest(it, idf, centers, seed) for ids, f in zip(b["ids"], leaf, strict=True)), width)
+    score = log_odds(table_of(docs.mapInPandas(by_leaf, schema), width), sum(counts[f] * weight[f] for f in counts))
 
     # Mixtures; the second time with the terms of the sentences that went to each subject
     for _ in range(1, rounds):
         shared = spark.sparkContext.broadcast(score)
-        counted = docs.mapInPandas(lambda it, s=shared: sentence_terms(it, s.value, sure), "s int, t int, n bigint").groupBy("t")
-        n = table_of(counted.agg(*(F.sum(F.when(F.col("s") == j, F.col("n"))).cast("float").alias(f"s{j}") for j in range(len(names) + 1))), len(names) + 1)
+        n = table_of(docs.mapInPandas(lambda it, s=shared: counted_once(sentence_terms(it, s.value, sure), width), schema), width)
         score = log_odds(n, n.sum(axis=0, dtype=np.float64))
-        shared.unpersist()
     shared = spark.sparkContext.broadcast(score)
     found = docs.mapInPandas(lambda it: shares(it, shared.value, names, share, sure), f"doc_id {kind}, subject string, share double")
     return found, summary
 
 
 def table_of(rows: DataFrame, width: int) -> np.ndarray:
-    """(t, s0, s1, ...) as an array of 2**BITS rows; the rows are at most as many."""
+    """The sums of (t, s0, s1, ...) by t as an array of 2**BITS rows; the driver gets at most as many."""
     n = np.zeros((1 << BITS, width), np.float32)
-    got = rows.toPandas()
+    got = rows.groupBy("t").agg(*(F.sum(f"s{j}").cast("float").alias(f"s{j}") for j in range(width))).toPandas()
     n[got["t"].to_numpy()] = got.drop(columns="t").fillna(0).to_numpy(np.float32)
     return n
 
@@ -198,20 +222,14 @@ def chosen(ids, ends, score: np.ndarray, sure: float) -> np.ndarray:  # noqa: AN
 
 
 def sentence_terms(batches, score: np.ndarray, sure: float):  # noqa: ANN001, ANN201
-    """How many sentences of each subject (the last: of none) hold each term, by batch."""
-    width = score.shape[1] + 1
+    """The terms of each sentence with a one for its subject (the last: for none)."""
+    ones = np.eye(score.shape[1] + 1, dtype=np.float32)
     for b in batches:
-        keys = []
         for ids, ends in zip(b["ids"], b["ends"], strict=True):
-            if len(ends) == 0:
-                continue
-            who = chosen(ids, ends, score, sure)
-            who = np.where(who < 0, width - 1, who)
-            lengths = np.diff(np.concatenate([[0], np.asarray(ends, np.int64)]))
-            keys.append(np.unique(np.repeat(who, lengths) * (1 << BITS) + np.asarray(ids, np.int64)))
-        if keys:
-            k, n = np.unique(np.concatenate(keys), return_counts=True)
-            yield pd.DataFrame({"s": (k >> BITS).astype(np.int32), "t": (k & ((1 << BITS) - 1)).astype(np.int32), "n": n})
+            at = 0
+            for end, who in zip(ends, chosen(ids, ends, score, sure) if len(ends) else (), strict=True):
+                yield np.unique(ids[at:end]), ones[who]
+                at = end
 
 
 def shares(batches, score: np.ndarray, names: list[str], share: float, sure: float):  # noqa: ANN001, ANN201
