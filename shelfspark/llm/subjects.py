@@ -99,13 +99,25 @@ def nearest(batches, idf, centers, seed: int):  # noqa: ANN001, ANN201
         yield b, [int((half - c @ project(ids, own, signs)).argmin()) for ids in b["ids"]]
 
 
-def counted_once(rows, width: int):  # noqa: ANN001, ANN201
-    """Sums of (terms, weights) pairs in one table of 2**BITS rows; a partition sends each term once."""
-    n = np.zeros((1 << BITS, width), np.float32)
-    for t, w in rows:
-        n[t] += w
+def counted_once(batches, weights: np.ndarray):  # noqa: ANN001, ANN201
+    """For batches of keys (group * 2**BITS + term, one for each time it counts): the weights of the groups, summed
+    by term in one table of 2**BITS rows; a partition sends each term once."""
+    n = np.zeros((1 << BITS, weights.shape[1]), np.float32)
+    for keys in batches:
+        k, c = np.unique(keys, return_counts=True)
+        group, t = k >> BITS, k & ((1 << BITS) - 1)
+        edges = np.flatnonzero(np.diff(group)) + 1
+        for part in np.split(np.arange(len(k)), edges) if len(k) else []:
+            n[t[part]] += c[part, None].astype(np.float32) * weights[group[part[0]]]
     t = np.flatnonzero(n.any(axis=1))
-    yield pd.DataFrame({"t": t.astype(np.int32)} | {f"s{j}": n[t, j] for j in range(width)})
+    yield pd.DataFrame({"t": t.astype(np.int32)} | {f"s{j}": n[t, j] for j in range(weights.shape[1])})
+
+
+def leaf_terms(batches):  # noqa: ANN001, ANN201
+    """Keys of each document's distinct terms in its leaf."""
+    for b, leaf in batches:
+        keys = [np.unique(np.asarray(ids, np.int64)) + (f << BITS) for ids, f in zip(b["ids"], leaf, strict=True)]
+        yield np.concatenate(keys) if keys else np.zeros(0, np.int64)
 
 
 def subject_areas(
@@ -168,13 +180,13 @@ def subject_areas(
     width = len(names) + 1
     schema = "t int, " + ", ".join(f"s{j} float" for j in range(width))
     shared = spark.sparkContext.broadcast(weight.astype(np.float32))
-    by_leaf = lambda it, w=shared: counted_once(((np.unique(ids), w.value[f]) for b, leaf in nearest(it, idf, centers, seed) for ids, f in zip(b["ids"], leaf, strict=True)), width)
+    by_leaf = lambda it, w=shared: counted_once(leaf_terms(nearest(it, idf, centers, seed)), w.value)
     score = log_odds(table_of(docs.mapInPandas(by_leaf, schema), width), sum(counts[f] * weight[f] for f in counts))
 
     # Mixtures; the second time with the terms of the sentences that went to each subject
     for _ in range(1, rounds):
         shared = spark.sparkContext.broadcast(score)
-        n = table_of(docs.mapInPandas(lambda it, s=shared: counted_once(sentence_terms(it, s.value, sure), width), schema), width)
+        n = table_of(docs.mapInPandas(lambda it, s=shared: counted_once(sentence_terms(it, s.value, sure), np.eye(width, dtype=np.float32)), schema), width)
         score = log_odds(n, n.sum(axis=0, dtype=np.float64))
     shared = spark.sparkContext.broadcast(score)
     found = docs.mapInPandas(lambda it: shares(it, shared.value, names, share, sure), f"doc_id {kind}, subject string, share double")
@@ -222,14 +234,16 @@ def chosen(ids, ends, score: np.ndarray, sure: float) -> np.ndarray:  # noqa: AN
 
 
 def sentence_terms(batches, score: np.ndarray, sure: float):  # noqa: ANN001, ANN201
-    """The terms of each sentence with a one for its subject (the last: for none)."""
-    ones = np.eye(score.shape[1] + 1, dtype=np.float32)
+    """Keys of the terms of each document's sentences of one subject (the last: of none), each once."""
+    none = score.shape[1]
     for b in batches:
+        keys = [np.zeros(0, np.int64)]
         for ids, ends in zip(b["ids"], b["ends"], strict=True):
-            at = 0
-            for end, who in zip(ends, chosen(ids, ends, score, sure) if len(ends) else (), strict=True):
-                yield np.unique(ids[at:end]), ones[who]
-                at = end
+            if len(ends):
+                who = chosen(ids, ends, score, sure)
+                lengths = np.diff(np.asarray(ends, np.int64), prepend=0)
+                keys.append(np.unique(np.repeat(np.where(who < 0, none, who), lengths) << BITS | np.asarray(ids, np.int64)))
+        yield np.concatenate(keys)
 
 
 def shares(batches, score: np.ndarray, names: list[str], share: float, sure: float):  # noqa: ANN001, ANN201
