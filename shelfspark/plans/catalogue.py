@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions import shopnames as N
+from ..functions.times import local_time
+from ..operators import entities as E
 from ..operators import merge as M
 from ..operators import quality as Q
 from ..operators import ranking as R
@@ -15,7 +18,7 @@ from ..operators import resolve as X
 from ..sources import readers, writers
 from . import problems, upkeep
 from .oracles import P1, P3
-from .run import table
+from .run import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = problems.QUERIES | upkeep.QUERIES
 ORACLES: dict[str, str] = upkeep.ORACLES | {"p1_found": P1, "p3_found": P3}
@@ -383,6 +386,32 @@ def fuzzy_resolve(spark, d):
     return X.resolve(left, right, "b")
 
 
+def _items(spark, d):  # noqa: ANN202
+    """The catalogue's row of each id that was updated last."""
+    items = table(spark, d, "catalog_gunpla").select("id", "line", "grade", "scale", "nameKo", "nameKoAi", "nameKoJoy", "nameJa", "priceJpy", "updated")
+    rest = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in items.columns if c not in ("id", "updated")]
+    return M.latest(items, ["id"], [local_time(F.col("updated")), *rest])
+
+
+@query(None)
+def arrival_resolve(spark, d):
+    """Each code's last arrival resolved against the catalogue; codes may share an item."""
+    names = latest_arrival(spark, d).select(F.col("code").alias("id"), "name")
+    return E.best_match(names, _items(spark, d), N.read_arrival).drop("exact").withColumnRenamed("id", "code")
+
+
+@query(None)
+def mall_resolve(spark, d):
+    """The mall's goods without a link, as loaded last, resolved against the catalogue; an item has one good."""
+    items = cut(_items(spark, d))
+    kept = table(spark, d, "mall_link").select("gno", F.col("catalogId").alias("target")).join(items.select(F.col("id").alias("target")), "target", "left_semi")
+    goods = table(spark, d, "mall_good").filter("gno is not null").select("gno", "name", "price", "seen", "loaded_at")
+    goods = M.latest(goods, ["gno"], [F.col("seen"), F.col("loaded_at"), F.coalesce("name", F.lit("")), F.coalesce("price", F.lit(0))]).join(kept, "gno", "left_anti")
+    goods = cut(goods.select(F.col("gno").alias("id"), F.coalesce("name", F.lit("")).alias("name"), "price"))
+    links = E.best_match(goods.select("id", "name"), items, N.read_good)
+    return E.claims(links, goods.drop("name"), items.select(F.col("id").alias("target"), F.col("priceJpy").alias("jpy")), kept.select("target")).drop("exact").withColumnRenamed("id", "gno")
+
+
 @query("""SELECT item, min(gno) AS gno FROM (SELECT gno, catalogId AS item, score, rank() OVER (PARTITION BY catalogId ORDER BY score DESC) AS k FROM (SELECT DISTINCT gno, catalogId, score FROM mall_link)) WHERE k = 1 GROUP BY item""")
 def one_to_one_claims(spark, d):
     links = table(spark, d, "mall_link").select("gno", F.col("catalogId").alias("item"), "score").distinct()
