@@ -6,6 +6,9 @@ import re
 import unicodedata
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Parameters: bracket code to grade (the first that fits; None isn't in the catalogue), grades looked through together, words that
 #: make a tail a variant, series that have such a word, spellings made one.
@@ -43,6 +46,11 @@ def nfkc(s: str | None) -> str:
     return unicodedata.normalize("NFKC", s or "")
 
 
+@F.pandas_udf(T.StringType())
+def nfkc_column(s: pd.Series) -> pd.Series:
+    return s.map(nfkc)
+
+
 def _fold(s: str) -> str:
     return nfkc(s).translate(_GREEK).lower()
 

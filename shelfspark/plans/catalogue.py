@@ -435,11 +435,32 @@ def glossary_containment(spark, d):
     return Q.glossary_hits(table(spark, d, "documents"), "text", ["계약", "試験", "photo", "1/144"])
 
 
+def _term_docs(spark, d):  # noqa: ANN202
+    """(doc, key, ja, ko, shop): the catalogue's items, its series, and arrivals by the name of the item that they are linked to."""
+    every = table(spark, d, "catalog_gunpla").select("id", "line", "grade", "scale", "nameKo", "nameKoAi", "nameKoJoy", "nameJa", "priceJpy", "nameKoSource", "seriesKey", "series", "seriesKo", "updated")
+    rest = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in every.columns if c not in ("id", "updated")]
+    items = cut(M.latest(every, ["id"], [local_time(F.col("updated")), *rest]))
+    shop = F.coalesce(F.col("nameKoSource").isin("joyhobby", "bnkrmall"), F.lit(False))
+    names = items.filter("nameJa <> '' and nameKo <> ''").select(F.col("id").alias("key"), F.col("nameJa").alias("ja"), F.col("nameKo").alias("ko"), shop.alias("shop"))
+    series = items.filter("series <> '' and seriesKo <> ''").groupBy(F.concat(F.lit("series:"), F.coalesce("seriesKey", "series")).alias("key")).agg(F.max(F.struct("series", "seriesKo")).alias("x"))
+    series = series.select("key", F.col("x.series").alias("ja"), F.col("x.seriesKo").alias("ko"), F.lit(False).alias("shop"))
+    links = E.best_match(latest_arrival(spark, d).select(F.col("code").alias("id"), "name"), items, N.read_arrival).filter("reason = 'linked'").select(F.col("id").alias("code"), F.col("target").alias("key"))
+    said = table(spark, d, "arrival_row").filter("name is not null").select("code", "name").distinct().join(links, "code").select("key", "name").distinct()
+    said = said.join(items.filter("nameJa <> ''").select(F.col("id").alias("key"), F.col("nameJa").alias("ja")), "key").select("key", "ja", F.regexp_replace("name", r"\([^)]*\)", " ").alias("ko"), F.lit(True).alias("shop"))
+    docs = names.withColumn("kind", F.lit("item")).union(series.withColumn("kind", F.lit("series"))).union(said.withColumn("kind", F.lit("arrival")))
+    return cut(docs.select(F.xxhash64("kind", "key", "ko").alias("doc"), "key", N.nfkc_column("ja").alias("ja"), "ko", "shop").dropDuplicates(["doc"]))
+
+
 @query(None)
 def term_mining(spark, d):
-    """Closed kana substrings of the catalogue's names with their document counts; compared with brute force in tests."""
-    items = table(spark, d, "catalog_gunpla").select("id", "series").dropna().distinct()
-    return Q.closed_terms(items, "id", F.regexp_extract_all("series", F.lit("([ァ-ヺー]{3,40})"), 1))
+    """Closed kana substrings of the names of items and series and of linked arrivals, with their document counts; compared with brute force in tests."""
+    return Q.closed_terms(_term_docs(spark, d), "doc", Q.kana_runs(F.col("ja")))
+
+
+@query(None)
+def term_variants(spark, d):
+    """Katakana terms of the same documents that Korean names spell in several ways."""
+    return Q.term_variants(_term_docs(spark, d))
 
 
 # --- sources and sinks ---------------------------------------------------------------------------------------------
