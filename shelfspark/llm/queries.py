@@ -96,9 +96,10 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_leaves(spark: SparkSession, d: str) -> DataFrame:
-    """Problem 8: the leaves of the clustering, and what they are about."""
-    _, leaves = subjects.subject_areas(table(spark, d, "documents"), table(spark, d, "subject_label"))
-    return leaves
+    """Problem 8: the leaves of the clustering, what they are about, and the terms that say so."""
+    documents = table(spark, d, "documents")
+    _, leaves = subjects.subject_areas(documents, table(spark, d, "subject_label"))
+    return subjects.readable(documents, leaves)
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_found, p4_forms, p5_found, p5_products, p6_found, p6_items, p7_copies, p7_mix, p8_found, p8_shares, p8_leaves)}

@@ -1,8 +1,8 @@
 import random
 
-import numpy as np
+import pandas as pd
 
-from shelfspark.llm.subjects import chosen, log_odds, sentences, subject_areas
+from shelfspark.llm.subjects import Labels, _terms, readable, sentences, subject_areas, terms
 
 VOCAB = {s: [f"{s}{a}{b}" for a in "abcdef" for b in "uvwxyz"] for s in ("law", "sport", "art")}
 COMMON = [f"plain{a}{b}" for a in "abcde" for b in "uvwx"]
@@ -35,7 +35,23 @@ def test_held_out_accuracy(spark):
     want = {(i, s) for i, t in truth.items() if i % 5 for s in t}
     assert len(rows) == len({(r.doc_id, r.subject) for r in rows})
     assert len(got & want) / len(got) > 0.95 and len(got & want) / len(want) > 0.95
-    assert leaves.agg({"documents": "sum"}).first()[0] == 502 * 4  # every document with a text, by subjects and none
+    told = leaves.collect()
+    assert sum(r.documents for r in told) == 502 * 4  # every document with a text, by subjects and none
+    for leaf in {r.leaf for r in told}:
+        assert abs(sum(r.weight for r in told if r.leaf == leaf) - 1) < 1e-6
+    words = {r.subject: set() for r in told}
+    for r in readable(df, leaves).collect():
+        words[r.subject] |= set(r.terms)
+    for s in VOCAB:  # leaves are named by words of their subject alone
+        assert words[s] and words[s] <= set(VOCAB[s])
+    assert not words[None]
+
+
+def test_repeated_documents(spark):
+    rows = spark.createDataFrame([(1, "one sentence here."), (1, "another sentence there."), (1, "one sentence here."), (2, "one sentence here.")], "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in terms(rows, "doc_id", "text").collect()}
+    again = {r.doc_id: r.ids for r in terms(rows.repartition(3), "doc_id", "text").collect()}
+    assert sorted(got) == [1, 2] and got == again
 
 
 def test_edges(spark):
@@ -48,7 +64,11 @@ def test_edges(spark):
 def test_sentences_and_scores():
     assert len(sentences("One sentence. Another one!\nHG 1/144 x.\n가나다 라마바사 아자. 短")) == 3
     assert sentences("") == []
-    n = np.array([[50, 1, 1], [1, 50, 1], [30, 30, 30], [1, 0, 0]], float)
-    score = log_odds(n, n.sum(axis=0))
-    assert score[0, 0] > 1 > 0 > score[0, 1] and np.abs(score[2]).max() < 0.5 and not score[3].any()
-    assert chosen([0, 0, 2, 1], [2, 3, 4], np.vstack([score, np.zeros((1, 2))]), 1.0).tolist() == [0, -1, 1]
+    t = sorted(_terms(w)[0] for w in ("law", "art", "plain"))
+    law, art, plain = (_terms(w)[0] for w in ("law", "art", "plain"))
+    said = pd.DataFrame([(0, 1, law, 1.0), (1, 0, art, 1.5), (2, 1, law, 0.5)], columns=["leaf", "s", "t", "score"])
+    labels = Labels(said, ["art", "law"])
+    who = labels.chosen([law, plain, plain, plain, art, plain, plain, law], [2, 4, 5, 8], 0.55)
+    assert [(labels.leaf[k], labels.subject[k]) if k >= 0 else None for k in who] == [(0, 1), None, (1, 0), (0, 1)]
+    assert labels.chosen(t, [3], 2.0).tolist() == [-1] and labels.chosen([], [], 1.0).tolist() == []
+    assert Labels(said.head(0), ["art"]).chosen([law], [1], 0.0).tolist() == [-1]
