@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.run import cut
 
 
-def components(nodes: DataFrame, edges: DataFrame, *, rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each node is connected with.
 
     ``nodes``: node; ``edges``: a, b in any direction, repeated or not; loops do nothing. Large-star and small-star
@@ -19,7 +19,7 @@ def components(nodes: DataFrame, edges: DataFrame, *, rounds: int = 60) -> DataF
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     now = cut(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
-    for _ in range(rounds):
+    while True:
         around = both(now)
         low = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = around.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()

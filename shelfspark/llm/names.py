@@ -1,7 +1,8 @@
 """What a product's name says: grade, scale, model number, series, variant, contents, and the model's name.
 
 Names come in Japanese, Korean and Latin letters; the model's name is brought to one spelling in Latin letters,
-syllable by syllable. The word lists below are fixed values of the trade; pass others to ``Parser``.
+syllable by syllable. Grades are fixed values of the trade; variants and sales talk come from a ``Lexicon`` that is
+learnt from the names. What no rule reads stays and tells names apart.
 """
 
 from __future__ import annotations
@@ -10,6 +11,13 @@ import re
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..plans.run import cut
+from .lexicon import Lexicon, bare, learn, loose, words_of
 from .lookalike import one_form
 
 # Grades as they are written, longest first where one begins another.
@@ -20,23 +28,8 @@ GRADES = {
     "master grade sd": "MGSD", "마스터 그레이드 sd": "MGSD", "mgsd": "MGSD", "master grade": "MG", "마스터 그레이드": "MG",
     "마스터그레이드": "MG", "マスターグレード": "MG", "real grade": "RG", "리얼 그레이드": "RG", "리얼그레이드": "RG", "リアルグレード": "RG",
     "high grade": "HG", "하이 그레이드": "HG", "하이그레이드": "HG", "ハイグレード": "HG", "리본 100": "RE", "re/100": "RE", "re 100": "RE",
-    "30ms": "30MS", "hg": "HG", "mg": "MG", "rg": "RG", "pg": "PG", "sd": "SD", "eg": "EG", "re": "RE",
+    "30ms": "30MS", **{f"hg{x}": "HG" for x in ("uc", "ce", "ac", "aw", "fc", "bf", "bd", "bc", "ibo", "gto")}, "hg": "HG", "mg": "MG", "rg": "RG", "pg": "PG", "sd": "SD", "eg": "EG", "re": "RE",
 }
-# Variants in the spellings of the three scripts (Latin ones without blanks).
-VARIANTS = {
-    "full": ("フルアーマー", "풀 아머", "풀아머", "full armor"),
-    "desert": ("砂漠戦仕様", "사막전 사양", "사막전사양", "사막 사양", "사막사양", "사막 전 사양", "desert spec"),
-    "marine": ("水中装備", "수중 장비", "수중장비", "marine pack"),
-    "commander": ("指揮官専用機", "지휘관 전용기", "지휘관전용기", "지휘관용", "지휘관기", "commander use"),
-    "final": ("ファイナルパック", "파이널 팩", "파이널팩", "final pack"),
-    "clear": ("クリアカラー", "클리어 컬러", "클리어컬러", "클리어 칼라", "clear color"),
-}
-# Sales talk and remarks that say nothing about the product.
-TALK = (
-    "무료배송", "빠른배송", "당일발송", "국내정발", "정품", "신품 미개봉", "신품", "미개봉", "선물 추천", "박스 상태 좋음",
-    "인기상품", "특가", "조립식 프라모델", "프라모델", "sale", "送料無料", "未開封", "特価", "即納", "国内正規品", "箱痛みなし", "プラモデル", "新品",
-    "예약", "재입고", "재생산", "재판", "한정판", "한정", "스케일", "scale",
-)
 _DECAL = re.compile("데 ?칼|デカール|decal|水転写", re.I)
 
 _VOWEL = dict(zip("ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣ", "a e ya ye o e yo ye o wa we we yo u wo we wi yu u i i".split(), strict=True))
@@ -99,48 +92,44 @@ class Name:
 
 
 _SCALE = re.compile(r"(?:(?<![\d/])1 ?[/:] ?(\d{2,3})(?!\d)|(\d{2,3})분의 ?1)(?: ?스케일| ?scale)?", re.I)
-_SIZE = re.compile(r"(?:약|높이|전고|全高|約)? ?(\d+(?:\.\d+)?) ?(cm|mm|센티|밀리)", re.I)
+_SIZE = re.compile(r"(?:약|높이|전고|全高|約)? ?(?<![/:\d.])(?<![/:] )(\d+(?:\.\d+)?) ?(cm|mm|센티|밀리)(?![a-z])", re.I)
 _CODE = re.compile(r"(?<![A-Za-z0-9])(?!re 100)([A-Za-z]{2,3})(?:-| (?!\d+ ?(?:분의|cm|mm|센티)))(\d{2,4})([A-Za-z]?)(?![A-Za-z0-9/:.])", re.I)
 _SET = re.compile(r"x ?(\d)\b|(\d) ?(?:개|박스|체|体|個|箱|點|点)(?: ?(?:세트|묶음|セット))?|(?<![가-힣])(두|세|네|다섯) ?개 ?(?:묶음|세트)|(?:묶음|세트|セット)", re.I)
 _COUNT = {"두": "2", "세": "3", "네": "4", "다섯": "5"}
 _BRACKET = re.compile(r"^\[([^\]]{1,20})\]")
 _LATIN = re.compile(r"\(([A-Za-z][A-Za-z0-9 .\-']{2,60})\)")
-_VER = re.compile(r"(?:ver\.? ?|버 ?전 ?|version ?)(\d)(?![\d/:.])|(?<![\d.])(\d) ?버 ?전", re.I)
+_VER = re.compile(r"(?:ver\.? ?|버 ?전 ?|version ?)(\d(?:\.\d)?)(?![\d/:.])|(?<![\d.])(\d) ?버 ?전|(?<![\d./:])(\d\.\d)(?![\d./:])|\bver\. ?([a-z]{1,8})\b", re.I)
 _TYPE = re.compile(r"(?:type|타 ?입|タイプ) ?-?([A-Z])\b|(?<![A-Za-z])([A-Z]) ?(?:타 ?입|タイプ)", re.I)
 _ROMAN = re.compile(r"(?<![A-Za-z])(I{2,3}|IV|VI{0,3})(?![A-Za-z])|(?<=[가-힣ァ-ヺー ])([2-9])(?:호기?|号機?)?(?![\d가-힣./:])")
 _NUMBER = {"II": "2", "III": "3", "IV": "4", "V": "5", "VI": "6", "VII": "7", "VIII": "8"}
-_REMARK = re.compile(r"\*[^*]{1,30}\*|[\[(【][^\])】]{0,12}(?:예약|재입고|생산|재판|한정|特価|특가)[^\])】]{0,12}[\])】]|[!★♥♡☆●■◆]+")
+_REMARK = re.compile(r"\*[^*]{1,30}\*|[!★♥♡☆●■◆]+")
 _KAI = re.compile(r"(?:(?<=[ァ-ヺー])改|(?<=[가-힣])( ?)(개|카 ?이))$")
-_LATIN_VARIANT = re.compile(r"\b(full armor|desert spec|marine pack|commander use|final pack|clear color|ver\.? ?\d|type [a-z]|kai|i{2,3}|iv)\b", re.I)
-_FULL = re.compile(r"(?<![A-Za-z])FA(?= ?[가-힣ァ-ヺ])")
-
-
-def _loose(words: str) -> str:
-    """A pattern of the words, with a blank allowed anywhere between characters of words that aren't Latin."""
-    words = words.replace(" ", "")
-    return re.escape(words) if words.isascii() and words.isalpha() and len(words) < 6 else " ?".join(map(re.escape, words))
+# Affixes that the rules above read; a lexicon leaves them to these.
+READ = r"^(?:(?:ver|version|버전)[.\d]*|\d*버전|(?:type|타입|タイプ)-?[a-z]?|[a-z]타입|[a-z]タイプ|[ivx]+|\d+(?:호기?|号機?)?|개|카이|改|kai|x\d|.*데칼.*|.*デカール.*|전용|専用|습식|水転写|전용습식|본체별매?|별매|\d?(?:개|박스|체|体|個|箱|点|點)?(?:세트|묶음|セット)|\d(?:개|박스|체|体|個|箱|点)|(?:두|세|네|다섯)개(?:묶음|세트)?|묶음|세트|セット|[\W\d_]+)$"
 
 
 @dataclass
 class Parser:
-    """``series``: the series' names, taken out of names wherever they stand whole."""
-
-    series: tuple[str, ...] = ()
-    _series: re.Pattern | None = field(init=False, default=None)
+    lexicon: Lexicon = field(default_factory=Lexicon)
 
     def __post_init__(self) -> None:
-        names = sorted({s for s in map(one_form, self.series) if s}, key=len, reverse=True)
-        self._series = re.compile("|".join(map(_loose, names))) if names else None
         self._grades = re.compile("|".join(rf"(?<![a-z0-9가-힣]){re.escape(g)}(?![a-z가-힣])" if g[-1].isascii() else re.escape(g) for g in sorted(GRADES, key=len, reverse=True)), re.I)
-        self._talk = re.compile("|".join(map(_loose, sorted(TALK, key=len, reverse=True))), re.I)
-        self._variants = [(k, re.compile("|".join(map(_loose, sorted(v, key=len, reverse=True))), re.I)) for k, v in VARIANTS.items()]
 
-    def __call__(self, text: str) -> Name:
-        return self._parse(text)
+    def plain(self, text: str) -> str:
+        """A text in its one form with bars for grade, scale, size and number."""
+        text = re.sub(r"^\[[A-Za-z]{2,4}\d*\]", "|", text).replace("(프라모델)", "|")
+        for p in (_SIZE, _CODE, _SCALE, self._grades):
+            text = p.sub("|", text)
+        return text
+
+    def grade(self, text: str) -> str:
+        m = self._grades.search(text)
+        return GRADES[m[0].lower()] if m else ""
 
-    def _parse(self, text: str) -> Name:
+    def __call__(self, text: str, series: tuple[str, ...] = ()) -> Name:
+        """``series``: the bare series that stand in the text."""
         t = one_form(text)
-        grade = scale = code = latin = series = ""
+        grade = scale = code = latin = ""
         contents, variant = [], []
         if m := _BRACKET.match(t):
             inner = re.sub(r"\d+$", "", m[1].strip()).lower()
@@ -148,19 +137,18 @@ class Parser:
             if inner in GRADES:
                 grade, t = GRADES[inner], t[m.end() :]
         t = t.replace("(프라모델)", " ")
-        if self._series and (m := self._series.search(t)):
-            series = m[0]
-            t = self._series.sub(" ", t)
+        for k in sorted(series, key=len, reverse=True):
+            t = _loose(k).sub(" ", t)
         if m := _LATIN.search(t):
-            said = m[1].lower()
-            for v in _LATIN_VARIANT.findall(said):
-                variant.append(v.lower())
-            latin = "".join(re.findall("[a-z]+", _LATIN_VARIANT.sub(" ", said)))
+            said, found = self.lexicon.take(m[1].lower())
+            said, more = _signs(said)
+            variant += found + more
+            latin = "".join(re.findall("[a-z]+", said))
             t = t[: m.start()] + " " + t[m.end() :]
         t = _REMARK.sub(" ", t)
         if _DECAL.search(t):
             contents.append("decal")
-            t = re.sub(r"\(본체 별매\)|(?:전 ?용 ?)?(?:습 ?식 ?)?데 ?칼|(?:専用)? ?(?:水転写)? ?デカール", " ", t)
+            t = re.sub(r"\(본체 별매\)|(?:전 ?용 ?)?(?:습 ?식 ?)?데 ?칼|(?:専用)? ?(?:水転写)? ?デカール|decals?", " ", t, flags=re.I)
         size = ""
         if m := _SIZE.search(t):
             size = f"{float(m[1]) * (10 if m[2].lower() in ('cm', '센티') else 1):.0f}"
@@ -176,19 +164,11 @@ class Parser:
             t = self._grades.sub(" ", t)
         if grade == "RE" and not scale:
             scale = "100"
-        t = self._talk.sub(" ", t)
-        if m := _FULL.search(t):
-            variant.append("full")
-            t = _FULL.sub(" ", t)
-        for k, p in self._variants:
-            t, n = p.subn(" ", t)
-            if n:
-                variant.append(k)
+        t, found = self.lexicon.take(t)
+        variant += found
         t = re.sub(r"[\[\]()【】]", " ", t)
-        for p, k in ((_VER, "ver"), (_TYPE, "type")):
-            if m := p.search(t):
-                variant.append(k + (m[1] or m[2]).lower())
-                t = p.sub(" ", t)
+        t, found = _signs(t)
+        variant += found
         t = re.sub("버 ?전", " ", t)
         if m := _SET.search(t):
             if not (m[2] and re.match(r"\d ?호", t[m.start() :])):
@@ -207,22 +187,36 @@ class Parser:
         kana = "".join(re.findall("[ァ-ヺー]+", t))
         hangul = "".join(re.findall("[가-힣]+", t))
         body = kana if len(kana) > len(hangul) else hangul
-        rest = " ".join(x for x in re.sub("[가-힣ァ-ヺー・]+", " ", t).split() if x.isalnum())
-        return Name(" ".join(syllables(body)), latin, grade, scale, code, "+".join(sorted({*map(_variant, variant)})), "+".join(sorted(contents)), series, rest, " ".join(syllables("".join(re.findall("[가-힣]+", whole)))), size)
+        rest = [w.lower() for w in re.sub("[가-힣ァ-ヺー・]+", " ", t).split() if w.isalnum()]
+        if not body and not latin:  # a name in Latin letters alone
+            latin, rest = "".join(w for w in rest if w.isascii() and w.isalpha()), [w for w in rest if not (w.isascii() and w.isalpha())]
+            body = latin
+        variant += [f"~{w}" for w in rest]
+        return Name(" ".join(syllables(body)), latin, grade, scale, code, "+".join(sorted({*variant})), "+".join(sorted(contents)), max(series, key=len, default=""), " ".join(rest), " ".join(syllables("".join(re.findall("[가-힣]+", whole)))), size)
+
 
+@lru_cache(1 << 14)
+def _loose(phrase: str) -> re.Pattern:
+    return re.compile(loose(phrase), re.I)
 
-@lru_cache(64)
-def _variant(v: str) -> str:
-    """One name for a variant written in Latin letters."""
-    v = v.strip().lower()
-    for k, spellings in VARIANTS.items():
-        if v in spellings:
-            return k
-    if m := re.fullmatch(r"ver\.? ?(\d)", v):
-        return "ver" + m[1]
-    if m := re.fullmatch(r"type ([a-z])", v):
-        return "type" + m[1]
-    return "no" + _NUMBER[v.upper()] if v.upper() in _NUMBER else v
+
+_LATIN_SIGN = re.compile(r"\b(kai|i{2,3}|iv|vi{0,3})\b", re.I)
+
+
+def _signs(text: str) -> tuple[str, list[str]]:
+    """The text without versions, types and, in Latin letters, numbers; and those."""
+    out = []
+    if m := _VER.search(text):
+        out.append("ver" + next(x for x in m.groups() if x).lower().removesuffix(".0"))
+        text = _VER.sub(" ", text)
+    if m := _TYPE.search(text):
+        out.append("type" + (m[1] or m[2]).lower())
+        text = _TYPE.sub(" ", text)
+    if text.isascii():
+        for v in _LATIN_SIGN.findall(text):
+            out.append("no" + _NUMBER[v.upper()] if v.upper() in _NUMBER else v.lower())
+        text = _LATIN_SIGN.sub(" ", text)
+    return text, out
 
 
 _SOUND = str.maketrans("gdb", "ktp")
@@ -251,21 +245,61 @@ def spells(key: str) -> list[str]:
 FIELDS = "key string, latin string, grade string, scale string, code string, variant string, contents string, series string, rest string, either string, size string"
 
 
-def parsed(names, text: str, series: tuple[str, ...], keep: tuple[str, ...]):  # noqa: ANN001, ANN201
+def series_in(names: DataFrame, text: str, series: DataFrame, longest: int = 5) -> DataFrame:
+    """(text, in_text): the distinct texts that hold a series of ``series`` (its one column) as words, with those."""
+    kind = F.pandas_udf(lambda s: s.map(lambda x: bare(one_form(x)), na_action="ignore"), T.StringType())
+    known = series.toDF("s").dropna().distinct().select(kind("s").alias("phrase")).filter(F.length("phrase") > 1).distinct()
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            rows = set()
+            for t in b["t"]:
+                for words in words_of(t, lambda x: x):
+                    rows |= {(t, "".join(words[i:k])) for i in range(len(words)) for k in range(i + 1, min(i + longest, len(words)) + 1)}
+            yield pd.DataFrame(list(rows), columns=["text", "phrase"])
+
+    each = names.select(F.col(text).alias("t")).dropna().distinct().mapInPandas(run, "text string, phrase string")
+    return each.join(known, "phrase").groupBy("text").agg(F.collect_list("phrase").alias("in_text"))  # a text's few series
+
+
+def parsed(names: DataFrame, text: str, series: DataFrame | None, lexicon: Lexicon, keep: tuple[str, ...]) -> DataFrame:
     """``names`` (its columns ``keep``) with the fields of ``Name`` for ``text``; null text gives no row.
 
-    Each row is parsed on its own, in batches: make the names distinct first.
+    ``series``: a table of series' names, of any size, joined by the words of the texts. Each row is parsed on its own, in
+    batches: make the names distinct first.
     """
-    import pandas as pd
-
     kinds = [f for f in names.select(*keep).schema]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kinds] + [FIELDS])
 
     def run(batches):  # noqa: ANN001, ANN202
-        parser = Parser(series)
+        parser = Parser(lexicon)
         for b in batches:
-            b = b[b["__text"].notna()]
-            got = pd.DataFrame([parser(t) for t in b["__text"]], columns=[f.strip().split()[0] for f in FIELDS.split(",")])
+            got = pd.DataFrame([parser(t, () if s is None else tuple(s)) for t, s in zip(b["__text"], b["in_text"], strict=True)], columns=[f.strip().split()[0] for f in FIELDS.split(",")])
             yield pd.concat([b[list(keep)].reset_index(drop=True), got], axis=1)
 
-    return names.selectExpr(*(f"`{k}`" for k in keep), f"`{text}` as __text").mapInPandas(run, schema)
+    rows = names.selectExpr(*(f"`{k}`" for k in keep), f"`{text}` as __text").filter("__text is not null")
+    if series is None:
+        rows = rows.withColumn("in_text", F.lit(None).cast("array<string>"))
+    else:
+        rows = rows.join(series_in(names, text, series).withColumnRenamed("text", "__text"), "__text", "left").select(*keep, "__text", "in_text")
+    return rows.mapInPandas(run, schema)
+
+
+@F.pandas_udf(T.StringType())
+def _without(text: pd.Series, in_text: pd.Series) -> pd.Series:
+    def one(t: str, found) -> str:  # noqa: ANN001
+        t = one_form(t)
+        for k in sorted(found, key=len, reverse=True) if found is not None else ():
+            t = _loose(k).sub(" | ", t)
+        return t
+
+    return pd.Series([one(t, f) for t, f in zip(text, in_text, strict=True)])
+
+
+def lexicon_of(texts: DataFrame, pairs: DataFrame, series: DataFrame | None = None) -> Lexicon:
+    """The lexicon of ``texts`` (text, price) and of a catalogue's names ``pairs`` (ja, ko); series are no affixes."""
+    parser = Parser()
+    rows = texts.filter("text is not null").groupBy("text").agg(F.median("price").alias("price"))
+    if series is not None:
+        rows = rows.join(series_in(rows, "text", series), "text", "left").select(_without("text", "in_text").alias("text"), "price")
+    return learn(cut(rows), pairs, parser.plain, skip=READ, grade=parser.grade)

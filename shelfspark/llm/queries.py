@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.oracles import look_sql
 from ..plans.run import skew_aware, table
 from ..functions.looks import id_key
-from . import leaks, link, listings, lookalike, mixing, subjects
+from . import leaks, link, listings, lookalike, mixing, names, subjects
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,11 +27,27 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.forms(both, "text")
 
 
+def series_of(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogue's series in both languages, one column."""
+    return table(spark, d, "catalog_gunpla").select(F.explode(F.array("series", "seriesKo")).alias("s"))
+
+
+def catalog_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "catalog_gunpla").select(F.col("nameJa").alias("ja"), F.col("nameKo").alias("ko"))
+
+
 def p5_products(spark: SparkSession, d: str) -> DataFrame:
     """Problem 5: each listing with the product it sells."""
     skew_aware(spark)
-    series = link.series_names(table(spark, d, "catalog_gunpla"), "series", "seriesKo")
-    return listings.same_product(table(spark, d, "shop_listing").select("listing_id", "name", "price", "currency"), series)
+    rows = table(spark, d, "shop_listing").select("listing_id", "name", "price", "currency")
+    series = series_of(spark, d)
+    lexicon = names.lexicon_of(rows.select(F.col("name").alias("text"), F.when(F.col("currency") == "KRW", F.col("price")).alias("price")), catalog_names(spark, d), series)
+    return listings.same_product(rows, series, lexicon)
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 5: each product with its first listing and how many it has."""
+    return listings.groups_of(p5_products(spark, d))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -63,9 +79,12 @@ def unlinked(spark: SparkSession, d: str, *, known: bool = False) -> DataFrame:
 def p2_links(spark: SparkSession, d: str, *, known: bool = False) -> DataFrame:
     """Problem 2: mall goods and arrival codes with their catalogue item and a confidence."""
     skew_aware(spark)
-    catalog = table(spark, d, "catalog_gunpla")
-    records = catalog.select(F.col("id").alias("catalog_id"), F.col("nameJa").alias("name"), F.lit(None).cast("string").alias("grade"), "scale", F.col("priceJpy").alias("price"), F.col("seriesKo").alias("series"))
-    return link.link_mentions(unlinked(spark, d, known=known), records, link.series_names(catalog, "series", "seriesKo"))
+    catalog, series = table(spark, d, "catalog_gunpla"), series_of(spark, d)
+    each = F.explode(F.array("nameJa", "nameKo")).alias("name")
+    records = catalog.select(F.col("id").alias("catalog_id"), each, "grade", "scale", F.col("priceJpy").alias("price"), F.col("seriesKo").alias("series"))
+    mentions = unlinked(spark, d, known=known)
+    lexicon = names.lexicon_of(mentions.select(F.col("name").alias("text"), "price"), catalog_names(spark, d), series)
+    return link.link_mentions(mentions, records, series, lexicon)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +121,7 @@ def p8_leaves(spark: SparkSession, d: str) -> DataFrame:
     return subjects.readable(documents, leaves)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_found, p4_forms, p5_found, p5_products, p6_found, p6_items, p7_copies, p7_mix, p8_found, p8_shares, p8_leaves)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_found, p4_forms, p5_found, p5_products, p5_groups, p6_found, p6_items, p7_copies, p7_mix, p8_found, p8_shares, p8_leaves)}
 _TEXTS = "SELECT nameJa AS t FROM catalog_gunpla UNION SELECT nameKo FROM catalog_gunpla"
 ORACLES: dict[str, str] = {
     "p4_found": f"""WITH c AS ({_TEXTS}), k AS (SELECT DISTINCT id, name FROM kit WHERE name IS NOT NULL)

@@ -125,7 +125,7 @@ def vectors(docs: DataFrame, idf, dims: int, seed: int) -> DataFrame:  # noqa: A
     return docs.select("ids").mapInPandas(run, "v array<double>")
 
 
-KEYS = 4_000_000
+KEYS = 1_000_000
 
 
 def leaf_counts(batches, idf, centers, frequent, seed: int):  # noqa: ANN001, ANN201

@@ -1,4 +1,6 @@
-from shelfspark.llm.link import link_mentions, series_names
+from words import LEXICON
+
+from shelfspark.llm import link
 
 RECORDS = [
     ("c1", "HG 1/144 ソンザ・ゲンピ", "1/144", 2000, None), ("c2", "MG 1/100 ソンザ・ゲンピ", "1/100", 6000, None),
@@ -21,18 +23,27 @@ def tables(spark):
 
 def test_links(spark):
     m, r = tables(spark)
-    got = {x.item_key: x.catalog_id for x in link_mentions(m, r, ()).collect()}
+    got = {x.item_key: x.catalog_id for x in link.link_mentions(m, r, None, LEXICON).collect()}
     # m6: no such variant; m10: two grades, nothing tells them apart
     assert got == {"m1": "c1", "m2": "c2", "m3": "c3", "m4": "c4", "m5": "c5", "m7": "c2"}
-    again = {x.item_key: (x.catalog_id, x.confidence) for x in link_mentions(m.union(m), r.union(r), ()).collect()}
+    again = {x.item_key: (x.catalog_id, x.confidence) for x in link.link_mentions(m.union(m), r.union(r), None, LEXICON).collect()}
     assert {k: v[0] for k, v in again.items()} == got and all(0 < v[1] <= 1 for v in again.values())
 
 
 def test_empty(spark):
     m, r = tables(spark)
-    assert link_mentions(m.limit(0), r, ()).count() == 0
-    assert link_mentions(m, r.limit(0), ()).count() == 0
+    assert link.link_mentions(m.limit(0), r, None, LEXICON).count() == 0
+    assert link.link_mentions(m, r.limit(0), None, LEXICON).count() == 0
+
+
+def test_common_attributes_are_refined(spark, monkeypatch):
+    m, r = tables(spark)
+    want = {tuple(x) for x in link.link_mentions(m, r, None, LEXICON).collect()}
+    monkeypatch.setattr(link, "COMMON", 0)  # every attribute is common
+    assert {tuple(x) for x in link.link_mentions(m, r, None, LEXICON).collect()} == want
 
 
-def test_series_names(spark):
-    assert series_names(spark.createDataFrame([("ab", None), ("ab", "cd")], "x string, y string"), "x", "y") == ("ab", "cd")
+def test_other_language_and_columns(spark):
+    r = spark.createDataFrame([("c1", "HG 1/144 聖機", None, "1/144", None, None), ("c1", "HG 1/144 손자 겐피", None, "1/144", None, None), ("c2", "다네네 후야", "MG", None, None, None), ("c3", "다네네 후야", "HG", None, None, None)], "catalog_id string, name string, grade string, scale string, price long, series string")
+    m = spark.createDataFrame([("m1", "HG ソンザ・ゲンピ", 100, None), ("m2", "MG 다네네후야", 100, None)], "item_key string, name string, price long, series string")
+    assert {x.item_key: x.catalog_id for x in link.link_mentions(m, r, None, LEXICON).collect()} == {"m1": "c1", "m2": "c2"}

@@ -1,7 +1,10 @@
 import random
 
+from words import LEXICON
+
 from shelfspark.llm.graph import components
-from shelfspark.llm.listings import pairs_of, same_product
+from shelfspark.llm import listings
+from shelfspark.llm.listings import groups_of, pairs_of, same_product
 
 
 def test_components_against_union_find(spark):
@@ -32,7 +35,7 @@ LISTINGS = [
 
 def test_groups(spark):
     rows = spark.createDataFrame([(*x, "c") for x in LISTINGS], "listing_id long, name string, price long, currency string, product string")
-    got = same_product(rows, ())
+    got = same_product(rows, None, LEXICON)
     groups = {}
     for r in got.collect():
         groups.setdefault(r.product, set()).add(r.listing_id)
@@ -42,4 +45,26 @@ def test_groups(spark):
     assert not {11, 12} & set().union(*groups.values())
     pairs = {tuple(r) for r in pairs_of(got).collect()}
     assert (1, 2) in pairs and (2, 1) not in pairs and (4, 10) in pairs and (6, 7) in pairs and (5, 6) not in pairs
-    assert same_product(rows.limit(0), ()).count() == 0
+    assert same_product(rows.limit(0), None, LEXICON).count() == 0
+
+
+def products(spark, names):
+    rows = spark.createDataFrame([(i, n, None, None) for i, n in enumerate(names)], "listing_id long, name string, price long, currency string")
+    groups = {}
+    for r in same_product(rows, None, LEXICON).collect():
+        groups.setdefault(r.product, set()).add(r.listing_id)
+    return sorted(map(sorted, groups.values()))
+
+
+def test_unlisted_variants(spark):
+    got = products(spark, ["MG 1/100 사자비 손자", "MG 1/100 사자비 손자 Ver.Ka", "MG 1/100 사자비 손자 2.0", "MG 사자비손자 정품", "MG 사자비 손자 나이트 컬러", "MG サザビ・ソンザ ver.ka"])
+    assert got == [[0, 3], [1, 5], [2], [4]]
+
+
+def test_common_tokens_are_refined(spark, monkeypatch):
+    rows = spark.createDataFrame([(*x, "c") for x in LISTINGS], "listing_id long, name string, price long, currency string, product string")
+    want = {tuple(r) for r in pairs_of(same_product(rows, None, LEXICON)).collect()}
+    monkeypatch.setattr(listings, "COMMON", 0)
+    got = same_product(rows, None, LEXICON)
+    assert {tuple(r) for r in pairs_of(got).collect()} == want
+    assert sum(r.listings for r in groups_of(got).collect()) == 12
