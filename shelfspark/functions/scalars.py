@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SCALE = r"(?<![\d/])1/\d{1,4}(?!\d)"
-MODEL = r"[A-Za-z]{1,4}-?\d{2,4}[A-Za-z]?"
+MODEL = r"(?<![A-Za-z0-9])[A-Za-z]{1,5}\d{0,3}(?:-[A-Za-z])?-\d[A-Za-z0-9\-/]*"
 
 
 def is_blank(c: Column) -> Column:
@@ -47,9 +47,10 @@ def scale_of(c: Column) -> Column:
 
 
 def model_tokens(c: Column) -> Column:
-    """The distinct model numbers, in capitals without hyphens and without zeros that lead their digits, sorted."""
+    """The distinct model numbers - letters, a hyphen and digits, perhaps more - in capitals, letters and digits only, without
+    zeros that lead a run of digits; sorted."""
     found = F.regexp_extract_all(c, F.lit(f"({MODEL})"), 1)
-    plain = F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(F.upper(x), r"(?<=[A-Z-])0+(?=\d)", ""), "-", ""))
+    plain = F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(F.upper(x), r"(?<!\d)0+(?=\d)", ""), "[^A-Z0-9]", ""))
     return F.array_sort(F.array_distinct(plain))
 
 
@@ -74,14 +75,15 @@ def ladder(c: Column, rules: Sequence[tuple[str, str | None]]) -> Column:
 
 
 def flexible_date(c: Column) -> Column:
-    """A date from Y/M/D, M/D/Y with any separator, or a spreadsheet's day number; null where it is none."""
+    """A date from Y, M and D with anything but digits between, M/D/Y with a year of two to four digits, or a spreadsheet's day
+    number of five; null where it is none."""
     c = F.trim(c)
-    ymd, mdy = r"^(\d{4})[./ -]+(\d{1,2})[./ -]+(\d{1,2})\b", r"^(\d{1,2})[./ -]+(\d{1,2})[./ -]+(\d{4})\b"
+    ymd, mdy = r"(\d{4})\D+(\d{1,2})\D+(\d{1,2})", r"^(\d{1,2})/(\d{1,2})/(\d{2,4})\z"
     part = lambda p, k: F.regexp_extract(c, p, k)
-    text = F.when(c.rlike(ymd), F.concat_ws("-", part(ymd, 1), F.lpad(part(ymd, 2), 2, "0"), F.lpad(part(ymd, 3), 2, "0"))).when(
-        c.rlike(mdy), F.concat_ws("-", part(mdy, 3), F.lpad(part(mdy, 1), 2, "0"), F.lpad(part(mdy, 2), 2, "0"))
-    )
-    serial = F.when(c.rlike(r"^\d{5}$"), F.date_add(F.lit("1970-01-01").cast("date"), F.when(c.rlike(r"^\d{5}$"), c).cast("int") - 25569))
+    two = lambda p, k: F.lpad(part(p, k), 2, "0")
+    year = F.when(F.length(part(mdy, 3)) == 2, F.concat(F.lit("20"), part(mdy, 3))).otherwise(part(mdy, 3))
+    text = F.when(c.rlike(ymd), F.concat_ws("-", part(ymd, 1), two(ymd, 2), two(ymd, 3))).when(c.rlike(mdy), F.concat_ws("-", year, two(mdy, 1), two(mdy, 2)))
+    serial = F.when(c.rlike(r"^\d{5}\z"), F.date_add(F.lit("1970-01-01").cast("date"), F.when(c.rlike(r"^\d{5}\z"), c).cast("int") - 25569))
     return F.coalesce(text.try_cast("date"), serial)
 
 
@@ -152,3 +154,28 @@ def data_uri(c: Column) -> Column:
     """struct(mime, bytes) of a base64 data URI; null where it is none."""
     p = r"^data:([\w.+-]+/[\w.+-]+);base64,([A-Za-z0-9+/=]+)$"
     return F.when(c.rlike(p), F.struct(F.regexp_extract(c, p, 1).alias("mime"), F.unbase64(F.regexp_extract(c, p, 2)).alias("bytes")))
+
+
+def stripped(name: Column, grade: Column, scale: Column, *, loose: bool = False) -> Column:
+    """A name without its leading grade (any width and case) and then its leading scale, each as a word of its own. ``loose`` also
+    takes a word that begins with the grade's letters, of up to four letters more and a letter behind a colon. Null is empty."""
+    narrow = lambda c: F.translate(c, _WIDE, _NARROW)
+    trim = lambda c: F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+\z", "")
+    ends = lambda s, n: F.concat(F.substr(s, n + 1), F.lit(" ")).rlike(r"^[\s\p{Z}]")
+    rest = lambda s, n: trim(F.substr(s, n + 1))
+    s, n = trim(F.coalesce(name, F.lit(""))), F.length(grade)
+    led = (F.lower(narrow(F.substr(s, F.lit(1), n))) == F.lower(grade)) & ends(s, n) & (grade != "")
+    s = F.when(F.coalesce(led, F.lit(False)), rest(s, n)).otherwise(s)
+    if loose:
+        letters = F.regexp_replace(F.coalesce(grade, F.lit("")), "[^A-Za-z]", "")
+        word = F.regexp_extract(s, r"^([A-Za-z]+(?::[A-Za-z])?)[\s\p{Z}]", 1)
+        plain = F.regexp_replace(word, ":.*$", "")
+        fits = (letters != "") & F.startswith(F.lower(plain), F.lower(letters)) & (F.length(plain) - F.length(letters)).between(1, 4)
+        s = F.when(fits, rest(s, F.length(word))).otherwise(s)
+    n = F.length(scale)
+    led = F.startswith(s, scale) & ends(s, n) & (scale != "")
+    return F.when(F.coalesce(led, F.lit(False)), rest(s, n)).otherwise(s)
+
+
+_WIDE = "".join(chr(k) for k in range(0xFF01, 0xFF5F))
+_NARROW = "".join(chr(k - 0xFEE0) for k in range(0xFF01, 0xFF5F))

@@ -63,6 +63,27 @@ def spaced(s: str) -> str:
     return _MARKS.sub(" ", _fold(s)).strip()
 
 
+@F.pandas_udf(T.StringType())
+def squash_column(s: pd.Series) -> pd.Series:
+    return s.map(squash, na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def spaced_column(s: pd.Series) -> pd.Series:
+    return s.map(spaced, na_action="ignore")
+
+
+def reader(read):  # noqa: ANN001, ANN201
+    """``read_arrival`` or ``read_good`` as a column function: struct(grade, scale, text, models)."""
+    fields = ["grade", "scale", "text", "models"]
+
+    @F.pandas_udf("grade string, scale string, text string, models string")
+    def parsed(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read(x) for x in s], columns=fields, dtype="object")
+
+    return parsed
+
+
 def in_order(words: str) -> str:
     return " ".join(sorted(words.split()))
 

@@ -67,21 +67,3 @@ def unique_candidates(left: DataFrame, right: DataFrame, keys: Sequence[str], id
     """(id, target): rows of ``left`` whose key fits exactly one target; none where several do."""
     one = right.groupBy(*keys).agg(F.count_distinct(target).alias("__n"), F.min(target).alias(target)).filter("__n = 1").drop("__n")
     return left.join(one, list(keys)).select(id_, target)
-
-
-def search(rows: DataFrame, text: str, tokens: Sequence[Sequence[str]], id_: str, most: int = 30) -> DataFrame:
-    """(id, score, hits): rows ranked by the query's tokens, each a list of alternatives in search form.
-
-    3 for a token within the name, 40 if the name begins with all of them joined, 100 if it is them, less a twentieth
-    of its length up to 60. Rows with every token win outright; else those with at least half of two or more.
-    One scan with built-in expressions; each partition sends ``most`` rows.
-    """
-    name = F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", "")
-    hits = sum((F.greatest(*(name.contains(a).cast("int") for a in alts), F.lit(0)) for alts in tokens), F.lit(0))
-    joined = "".join(alts[0] for alts in tokens)
-    bonus = F.when(name == joined, 100.0).when(name.startswith(joined), 40.0).when(name.contains(joined), 20.0).otherwise(0.0)
-    score = F.round(3.0 * hits + bonus - 0.05 * F.least(F.length(name), F.lit(60)), 2)
-    found = rows.select(id_, hits.alias("hits"), score.alias("score")).filter(f"hits > 0 and (hits = {len(tokens)} or ({len(tokens)} > 1 and hits >= {-(-len(tokens) // 2)}))")
-    strict = found.agg((F.max("hits") == len(tokens)).alias("__strict"))
-    kept = found.join(F.broadcast(strict)).filter(~F.col("__strict") | (F.col("hits") == len(tokens))).drop("__strict")
-    return kept.orderBy(F.desc("score"), id_).limit(most)

@@ -57,7 +57,6 @@ def check_references(
     return joined.select(*(F.col(f"`{c}`") for c in refs.columns), verdict.alias(state), *(F.col(f"__c{j}").alias(f"{state}_{c}") for j, c in enumerate(carry)))
 
 
-def orphan_report(refs: DataFrame, state: str, table: str, period: str) -> DataFrame:
-    """Orphans counted by table and period, with their share of the references that name something."""
-    named = refs.filter(F.col(state) != "none")
-    return named.groupBy(table, period).agg(F.count_if(F.col(state) == "orphan").alias("orphans"), F.count("*").alias("refs"))
+def state_report(refs: DataFrame, state: str, bad: Sequence[str], table: str, period: str) -> DataFrame:
+    """(table, period, refs, one column for each state of ``bad``): the references that name something, counted by table and period."""
+    return refs.groupBy(table, period).agg(F.count("*").alias("refs"), *(F.count_if(F.col(state) == x).alias(x) for x in bad))

@@ -1,47 +1,11 @@
-"""Fuzzy resolution within blocks: a ratio of common letters, guards, a margin, one-to-one claims."""
+"""One-to-one claims on the targets of a resolution; the resolution itself is ``entities``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """100 * (1 - edits / longer length), by the engine's Levenshtein distance; 100 for two empty texts."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 100.0).otherwise(F.round(100.0 * (1 - F.levenshtein(a, b) / longest), 1))
-
-
-def sorted_words(c: Column) -> Column:
-    return F.concat_ws(" ", F.array_sort(F.split(F.trim(c), r"\s+")))
-
-
-def resolve(left: DataFrame, right: DataFrame, block: str, *, name: str = "name", left_id: str = "id", right_id: str = "target", least: float = 80.0, margin: float = 10.0, keep: int = 12) -> DataFrame:
-    """(id, target, score, margin, reason): ``linked``, ``low-score``, ``guard`` or ``ambiguous`` for each row of left that
-    has a candidate in its block.
-
-    Candidates are joined on the block, and preselected by the better of two ratios, of the names and of their words in order; ties keep all,
-    so nothing depends on the order of rows. Guard: Latin runs with digits must be the same. A link's score is at
-    least ``least`` and ``margin`` above the next target's. A block with very many rows on both sides is as dear as
-    the pairs in it: choose blocks by rare attributes (the linkage of the llm part does).
-    """
-    digits = lambda c: F.array_sort(F.regexp_extract_all(F.lower(c), F.lit(r"([a-z]*\d[a-z0-9]*)"), 1))
-    a = left.select(F.col(left_id).alias("__id"), F.col(block).alias("__b"), F.col(name).alias("__n")).dropna()
-    b = right.select(F.col(right_id).alias("__t"), F.col(block).alias("__b"), F.col(name).alias("__m")).dropna()
-    pairs = a.join(b, "__b")
-    pairs = pairs.withColumn("__s", F.greatest(ratio(F.col("__n"), F.col("__m")), ratio(sorted_words(F.col("__n")), sorted_words(F.col("__m")))))
-    pairs = pairs.groupBy("__id", "__t").agg(F.max(F.struct("__s", "__n", "__m")).alias("x")).select("__id", "__t", "x.*")
-    pairs = pairs.withColumn("__r", F.rank().over(Window.partitionBy("__id").orderBy(F.desc("__s")))).filter(F.col("__r") <= keep)
-    pairs = pairs.withColumn("__ok", digits(F.col("__n")) == digits(F.col("__m")))
-    order = Window.partitionBy("__id").orderBy(F.desc("__ok"), F.desc("__s"), "__t")
-    best = Window.partitionBy("__id")
-    ranked = pairs.withColumns({"__k": F.row_number().over(order), "__next": F.lead(F.when(F.col("__ok"), F.col("__s"))).over(order), "__bad": F.max(F.when(~F.col("__ok"), F.col("__s"))).over(best)})
-    top = ranked.filter("__k = 1")
-    gap = F.round(F.col("__s") - F.coalesce("__next", F.lit(0.0)), 1)
-    reason = F.when(~F.col("__ok") | (F.col("__s") < least), F.when(F.coalesce("__bad", F.lit(0.0)) >= least, "guard").otherwise("low-score")).when(gap < margin, "ambiguous").otherwise("linked")
-    return top.select(F.col("__id").alias(left_id), F.col("__t").alias(right_id), F.col("__s").alias("score"), gap.alias("margin"), reason.alias("reason"))
-
-
 def one_to_one(links: DataFrame, id_: str, target: str, score: str) -> DataFrame:
     """Of links to one target the best, the least id on a tie."""
     order = Window.partitionBy(target).orderBy(F.desc(score), id_)

@@ -16,12 +16,12 @@ from ..operators import quality as Q
 from ..operators import ranking as R
 from ..operators import resolve as X
 from ..sources import readers, writers
-from . import problems, upkeep
-from .oracles import P1, P3
+from . import find, problems, upkeep
+from .oracles import P1, P1_PARTIAL, P1_REPORT, P3, P3_DAILY
 from .run import cut, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = problems.QUERIES | upkeep.QUERIES
-ORACLES: dict[str, str] = upkeep.ORACLES | {"p1_found": P1, "p3_found": P3}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = problems.QUERIES | upkeep.QUERIES | find.QUERIES
+ORACLES: dict[str, str] = upkeep.ORACLES | find.ORACLES | {"p1_found": P1, "p1_report": P1_REPORT, "p1_partial": P1_PARTIAL, "p3_found": P3, "p3_daily": P3_DAILY}
 
 
 def query(sql: str | None):  # noqa: ANN201
@@ -190,40 +190,11 @@ def scale_of_name(spark, d):
     return table(spark, d, "arrival_row").select("name").dropna().distinct().withColumn("scale", S.scale_of(F.col("name")))
 
 
-@query(None)
-def model_tokens(spark, d):
-    """Model numbers of arrivals; lookbehind, so no SQL here."""
-    names = table(spark, d, "arrival_row").select("name").dropna().distinct()
-    return names.select(F.explode(S.model_tokens(F.col("name"))).alias("model")).groupBy("model").agg(F.count("*").alias("names"))
-
-
 @query("""SELECT p_partkey, list_sort(list_filter(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]+'), lambda x: regexp_matches(x, '[0-9]') OR regexp_matches(x, '^(i{1,3}|iv|vi{0,3}|ix|x)$') OR length(x) <= 3)) AS runs FROM part""")
 def short_runs(spark, d):
     return table(spark, d, "part").select("p_partkey", S.short_runs(F.concat_ws(" ", "p_name", "p_type")).alias("runs"))
 
 
-_TYPES = [("(?i)promo", None), ("(?i)^(economy|small)", "low"), ("(?i)^(standard|medium)", "mid"), ("(?i)^(large|premium)", "high")]
-
-
-@query("""SELECT p_partkey, CASE WHEN regexp_matches(p_type, '(?i)promo') THEN NULL WHEN regexp_matches(p_type, '(?i)^(economy|small)') THEN 'low'
- WHEN regexp_matches(p_type, '(?i)^(standard|medium)') THEN 'mid' WHEN regexp_matches(p_type, '(?i)^(large|premium)') THEN 'high' END AS class FROM part""")
-def pattern_ladder(spark, d):
-    return table(spark, d, "part").select("p_partkey", S.ladder(F.col("p_type"), _TYPES).alias("class"))
-
-
-_DIM = [("hg", "gunpla", 1), ("mg", "gunpla", 1), ("pb_hg", "gunpla", 0), ("girl", "girl", 1)]
-
-
-@query("""WITH dim(k, line, graded) AS (VALUES ('hg','gunpla',1),('mg','gunpla',1),('pb_hg','gunpla',0),('girl','girl',1)),
- e AS (SELECT DISTINCT id, unnest(brandKeys) AS k FROM catalog_gunpla)
- SELECT e.id AS id, CASE WHEN bool_or(dim.line = 'girl') THEN 'girl' WHEN bool_or(dim.line = 'gunpla') THEN 'gunpla' END AS line, count(*) FILTER (WHERE dim.k IS NULL) AS unknown FROM e LEFT JOIN dim ON e.k = dim.k GROUP BY e.id""")
-def vote_by_keys(spark, d):
-    dim = spark.createDataFrame(_DIM, "k string, line string, graded int")
-    keys = table(spark, d, "catalog_gunpla").select("id", F.explode("brandKeys").alias("k")).distinct()
-    got = keys.join(F.broadcast(dim), "k", "left").groupBy("id")
-    return got.agg(F.when(F.bool_or(F.col("line") == "girl"), "girl").when(F.bool_or(F.col("line") == "gunpla"), "gunpla").alias("line"), F.count_if(F.col("line").isNull()).alias("unknown"))
-
-
 @query("""SELECT o_orderkey, CASE WHEN CAST(l.d AS DATE) - CAST(o_orderdate AS DATE) >= 60 THEN 'again' ELSE 'new' END AS kind,
  CASE WHEN CAST(l.d AS DATE) - last_day(CAST(o_orderdate AS DATE)) >= 60 THEN 'again' ELSE 'new' END AS month_kind FROM orders JOIN (SELECT l_orderkey, max(l_shipdate) AS d FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey""")
 def again_after_60_days(spark, d):
@@ -261,11 +232,6 @@ def build_days(spark, d):
     return table(spark, d, "kit").select("id", S.inclusive_days(as_day("startDate"), as_day("doneDate")).cast("int").alias("days")).distinct()
 
 
-@query("""SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '[一-鿿]'))) AS han FROM documents WHERE text IS NOT NULL""")
-def stray_characters(spark, d):
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", S.characters_not_in(F.col("text"), F.lit(""), "一-鿿").alias("han"))
-
-
 @query("""SELECT DISTINCT id, CASE WHEN url LIKE 'https://shop.example/%' OR url LIKE 'https://hobby.example/%' THEN url END AS url FROM feed""")
 def url_allow_list(spark, d):
     return table(spark, d, "feed").select("id", S.allowed_url(F.col("url"), ["shop.example", "hobby.example"]).alias("url")).distinct()
@@ -351,14 +317,6 @@ def unique_candidate_link(spark, d):
     return R.unique_candidates(kits, items, ["name", "scale"], "id", "target").distinct()
 
 
-@query("""WITH p AS (SELECT p_partkey, regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', '', 'g') AS n FROM part),
- s AS (SELECT p_partkey, (contains(n, 'red') OR contains(n, 'blue'))::INT + contains(n, 'part')::INT AS hits, n FROM p),
- f AS (SELECT p_partkey, hits, round(3.0 * hits + CASE WHEN n = 'redpart' THEN 100.0 WHEN n LIKE 'redpart%' THEN 40.0 WHEN contains(n, 'redpart') THEN 20.0 ELSE 0.0 END - 0.05 * least(length(n), 60), 2)::DOUBLE AS score FROM s WHERE hits >= 1)
- SELECT p_partkey, hits, score FROM f WHERE hits = 2 OR (SELECT max(hits) FROM f) < 2 ORDER BY score DESC, p_partkey LIMIT 30""")
-def ranked_search(spark, d):
-    return R.search(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", [["red", "blue"], ["part"]], "p_partkey")
-
-
 @query("""SELECT line, count(*) AS items, count(*) FILTER (WHERE detailAt IS NULL) AS open FROM (SELECT id, any_value(line) AS line, max(detailAt) AS detailAt FROM catalog_gunpla GROUP BY id) GROUP BY line""")
 def catalog_counts(spark, d):
     items = table(spark, d, "catalog_gunpla").groupBy("id").agg(F.max("line").alias("line"), F.max("detailAt").alias("detailAt"))
@@ -373,19 +331,6 @@ def owned_map(spark, d):
 
 # --- resolution, quality, mining -----------------------------------------------------------------------------------
 
-@query("""WITH a AS (SELECT p_partkey AS id, p_type AS b, 'x ' || p_name AS n FROM part), t AS (SELECT p_partkey AS target, p_type AS b, p_name AS m FROM part),
- p AS (SELECT a.id, target, n, m, greatest(round(100.0 * (1 - levenshtein(n, m) / greatest(length(n), length(m))), 1), round(100.0 * (1 - levenshtein(array_to_string(list_sort(regexp_split_to_array(trim(n), '\\s+')), ' '), array_to_string(list_sort(regexp_split_to_array(trim(m), '\\s+')), ' '))
-   / greatest(length(n), length(m))), 1)) AS s, list_sort(regexp_extract_all(lower(n), '[a-z]*[0-9][a-z0-9]*')) = list_sort(regexp_extract_all(lower(m), '[a-z]*[0-9][a-z0-9]*')) AS ok FROM a JOIN t USING (b)),
- k AS (SELECT *, rank() OVER (PARTITION BY id ORDER BY s DESC) AS r FROM p), q AS (SELECT * FROM k WHERE r <= 12),
- w AS (SELECT *, row_number() OVER o AS k2, lead(CASE WHEN ok THEN s END) OVER o AS nxt, max(CASE WHEN NOT ok THEN s END) OVER (PARTITION BY id) AS bad FROM q WINDOW o AS (PARTITION BY id ORDER BY ok DESC, s DESC, target))
- SELECT id, target, s AS score, round(s - coalesce(nxt, 0), 1) AS margin, CASE WHEN NOT ok OR s < 80 THEN CASE WHEN coalesce(bad, 0) >= 80 THEN 'guard' ELSE 'low-score' END WHEN round(s - coalesce(nxt, 0), 1) < 10 THEN 'ambiguous' ELSE 'linked' END AS reason FROM w WHERE k2 = 1""")
-def fuzzy_resolve(spark, d):
-    parts = table(spark, d, "part")
-    left = parts.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("b"), F.concat(F.lit("x "), "p_name").alias("name"))
-    right = parts.select(F.col("p_partkey").alias("target"), F.col("p_type").alias("b"), F.col("p_name").alias("name"))
-    return X.resolve(left, right, "b")
-
-
 def _items(spark, d):  # noqa: ANN202
     """The catalogue's row of each id that was updated last."""
     items = table(spark, d, "catalog_gunpla").select("id", "line", "grade", "scale", "nameKo", "nameKoAi", "nameKoJoy", "nameJa", "priceJpy", "updated")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.looks import id_key, look_alike
 from ..functions.times import local_time
-from ..operators.references import check_references, orphan_report
+from ..operators.references import check_references, state_report
 from ..operators.snapshots import snapshot_changes
 from .run import skew_aware, table
 
@@ -29,29 +29,37 @@ def _checked(spark: SparkSession, d: str) -> DataFrame:
     return check_references(catalog_references(spark, d), items, [("item", "id")], carry=["seen"])
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Problem 1: references to catalogue items that are missing, deleted or only seen later."""
-    got = _checked(spark, d)
+def _wrong(spark: SparkSession, d: str, got: DataFrame) -> DataFrame:
+    """The references that are ``late``, ``deleted`` or ``missing``."""
     late = (F.col("_state") == "found") & (F.col("_state_seen") > F.col("at"))
     wrong = got.filter((F.col("_state") == "orphan") | late)
     gone = table(spark, d, "excluded").select(id_key(F.col("id")).alias("id"))
     wrong = wrong.withColumn("item", F.when(F.col("_state") == "orphan", F.col("item")))  # late ones need no look at the deleted
     wrong = check_references(wrong, gone, [("item", "id")], state="_gone")
     state = F.when(F.col("_state") == "found", "late").when(F.col("_gone") == "found", "deleted").otherwise("missing")
-    return wrong.select("ref_table", "ref_key", "period", state.alias("state")).distinct()
+    return wrong.select("ref_table", "ref_key", "period", state.alias("state"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 1: references to catalogue items that are missing, deleted or only seen later."""
+    return _wrong(spark, d, _checked(spark, d)).distinct()
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    """Problem 1: orphans per table and month."""
-    return orphan_report(_checked(spark, d), "_state", "ref_table", "period")
+    """Problem 1: references per table and month: how many, and how many of them are missing, deleted or late."""
+    got = _checked(spark, d)
+    right = got.filter((F.col("_state") == "found") & ~F.coalesce(F.col("_state_seen") > F.col("at"), F.lit(False)))
+    each = right.select("ref_table", "ref_key", "period", F.lit("found").alias("state")).unionByName(_wrong(spark, d, got))
+    return state_report(each, "state", ("missing", "deleted", "late"), "ref_table", "period")
 
 
 def p1_partial(spark: SparkSession, d: str) -> DataFrame:
-    """Problem 1, composite keys: kit (catalogId, grade, scale) against the catalogue under MATCH PARTIAL."""
+    """Problem 1, composite keys: kit (catalogId, grade, scale) against the catalogue under MATCH PARTIAL, by null mask; a kit's
+    repeated rows count once."""
     skew_aware(spark)
-    blank = lambda c: F.when(F.trim(c) != "", F.trim(c))
-    kits = table(spark, d, "kit").select("id", id_key(F.col("catalogId")).alias("item"), blank(F.col("grade")).alias("grade"), blank(F.col("scale")).alias("scale"))
-    items = table(spark, d, "catalog_gunpla").select(id_key(F.col("id")).alias("item"), "grade", "scale")
+    blank = lambda c: F.when(F.trim(c) != "", F.trim(c)).alias(c)
+    kits = table(spark, d, "kit").select("id", id_key(F.col("catalogId")).alias("item"), blank("grade"), blank("scale")).distinct()
+    items = table(spark, d, "catalog_gunpla").select(id_key(F.col("id")).alias("item"), blank("grade"), blank("scale"))
     got = check_references(kits, items, [(c, c) for c in ("item", "grade", "scale")], match="partial")
     mask = F.concat(*(F.when(F.col(c).isNull(), "-").otherwise(c[0]) for c in ("item", "grade", "scale")))
     return got.groupBy(mask.alias("mask"), F.col("_state").alias("state")).agg(F.count("*").alias("kits"))

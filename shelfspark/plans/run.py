@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,17 +16,23 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is named (as in tests) a local one is set."""
+    """The cluster's shared folder. Where none is named a local one is made and removed at the end, on a local master only: on a
+    cluster a folder of one machine would lose checkpoints, so that raises."""
     sc = spark.sparkContext
-    if not (named := sc.getCheckpointDir() or sc.getConf().get(CHECKPOINT) or spark.conf.get(CHECKPOINT, None)):
+    named = sc.getCheckpointDir() or sc.getConf().get(CHECKPOINT) or spark.conf.get(CHECKPOINT, None)
+    if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError(f"name a folder that all machines share in {CHECKPOINT}")
         named = tempfile.mkdtemp(prefix="shelfspark-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from a reliable checkpoint: computed once, whatever reads them later or is lost."""
+    """The same rows, read from a reliable checkpoint: computed once, whatever reads them later or is lost. Spark removes the files of a
+    checkpoint that nothing refers to any more if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

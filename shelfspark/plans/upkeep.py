@@ -252,19 +252,6 @@ def history_without_code(spark, d):
     return rows.groupBy("code").agg(F.array_sort(F.collect_list("post")).alias("posts"))
 
 
-_ALIASES = {"hg": ["hg", "high"], "mg": ["mg", "master"], "사막": ["사막", "desert"]}
-
-
-@query("""WITH t AS (SELECT DISTINCT name, regexp_split_to_array(trim(regexp_replace(lower(name), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS w FROM shop_listing WHERE name IS NOT NULL)
- SELECT name, list_has_any(w, ['hg', 'high']) AND list_has_any(w, ['사막', 'desert']) AS hit FROM t""")
-def alias_tokens(spark, d):
-    """Query tokens stand for all words of their alias group."""
-    names = table(spark, d, "shop_listing").select("name").dropna().distinct()
-    words = F.split(S.spaced_form(F.col("name")), " ")
-    any_of = lambda k: F.arrays_overlap(words, F.array(*map(F.lit, _ALIASES[k])))
-    return names.select("name", (any_of("hg") & any_of("사막")).alias("hit"))
-
-
 @query("""WITH p AS (SELECT DISTINCT id, split_part(series, ' ', 1) AS ja, unnest(string_split(seriesKo, ' ')) AS ko FROM catalog_gunpla WHERE series IS NOT NULL AND seriesKo IS NOT NULL),
  j AS (SELECT ja, count(DISTINCT id) AS n FROM p GROUP BY 1) SELECT p.ja AS ja, ko, count(DISTINCT id) AS docs FROM p JOIN j ON p.ja = j.ja GROUP BY p.ja, ko, j.n HAVING count(DISTINCT id) >= 0.85 * j.n AND j.n >= 3""")
 def term_pairs(spark, d):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.functions.times import local_time
-from shelfspark.operators.references import check_references, orphan_report
+from shelfspark.operators.references import check_references, state_report
 
 
 def brute(ref, targets, match):
@@ -47,7 +47,7 @@ def test_carry_takes_the_least(spark):
 
 def test_report(spark):
     rows = spark.createDataFrame([("f", "2026-01", s) for s in ("orphan", "found", "none")], "ref_table string, period string, _state string")
-    assert [tuple(r) for r in orphan_report(rows, "_state", "ref_table", "period").collect()] == [("f", "2026-01", 1, 2)]
+    assert [tuple(r) for r in state_report(rows.filter("_state <> 'none'"), "_state", ("orphan",), "ref_table", "period").collect()] == [("f", "2026-01", 2, 1)]
 
 
 def test_times(spark):
