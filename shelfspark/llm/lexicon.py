@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.run import cut
-from .lookalike import one_form
 
 
 def bare(phrase: str) -> str:
@@ -67,9 +66,9 @@ _PUNCTUATION = "-–~.,!?:;'\"…"
 
 
 def words_of(text: str, plain) -> list[list[str]]:  # noqa: ANN001
-    """The words of a name between its grade, scale, number and the like, which ``plain`` replaces by bars."""
+    """The words of a name in its one form, between its grade, scale, number and the like, which ``plain`` replaces by bars."""
     out = []
-    for part in plain(one_form(text)).lower().split("|"):
+    for part in plain(text).lower().split("|"):
         words = (w.strip(_PUNCTUATION) for w in re.split(r"[\s\[\]()（）【】<>*★♥♡☆●■◆・,/]+", part))
         if words := [w for w in words if w]:
             out.append(words)
@@ -142,7 +141,7 @@ def alike(a: str, b: str) -> bool:
 
 
 def learn(texts: DataFrame, pairs: DataFrame, plain, *, skip: str = "(?!)", grade=None) -> Lexicon:  # noqa: ANN001
-    """The lexicon of ``texts`` (text, price) and of a catalogue's names ``pairs`` (ja, ko).
+    """The lexicon of ``texts`` (text, price) and of a catalogue's names ``pairs`` (ja, ko), all in their one form.
 
     ``plain`` takes out of a name what a parser reads by itself, ``skip`` is a pattern of affixes that it knows, and
     ``grade`` gives the grade that a name says. Null names and prices say nothing; repeated rows count once. Empty tables teach nothing.
@@ -192,7 +191,6 @@ def _pairs(pairs: DataFrame, ja: list[str], ko: list[str], sure: float = 0.85) -
         for batch in batches:
             rows = []
             for x, y in zip(batch["ja"], batch["ko"], strict=True):
-                x, y = one_form(x), one_form(y)
                 left = sorted({bare(m[0]) for m in a.pattern.finditer(x)})
                 right = sorted({bare(m[0]) for m in b.pattern.finditer(y)})
                 if len(right) == 1 and len(left) == 1:
@@ -238,11 +236,10 @@ def _company(texts: DataFrame, lexicon: Lexicon, plain, grade) -> tuple[dict, di
         for b in batches:
             rows = []
             for t, price in zip(b["t"], b["price"], strict=True):
-                form = one_form(t)
-                hits = {bare(m[0]) for m in lexicon.pattern.finditer(form)}
+                hits = {bare(m[0]) for m in lexicon.pattern.finditer(t)}
                 said = sorted({kinds[h] for h in hits if h in kinds})
-                left = "".join(sorted(w for part in words_of(lexicon.pattern.sub(" | ", form), plain) for w in part))
-                rows.append((f"{grade(form) if grade else ''}|{left}|{'+'.join(said)}", price, sorted(h for h in hits if h not in kinds), said))
+                left = "".join(sorted(w for part in words_of(lexicon.pattern.sub(" | ", t), plain) for w in part))
+                rows.append((f"{grade(t) if grade else ''}|{left}|{'+'.join(said)}", price, sorted(h for h in hits if h not in kinds), said))
             yield pd.DataFrame(rows, columns=["body", "price", "open", "said"])
 
     rows = texts.select(F.col("text").alias("t"), F.col("price").cast("double").alias("price")).filter("t is not null").distinct()

@@ -42,12 +42,12 @@ def said(column: str):  # noqa: ANN201
 COMMON = 200  # records of an attribute from which it is refined
 
 
-def link_mentions(mentions: DataFrame, records: DataFrame, series: DataFrame | None, lexicon: Lexicon, *, least: float = 0.6, margin: float = 0.05, still: float = 0.02) -> DataFrame:
+def link_mentions(mentions: DataFrame, records: DataFrame, where: DataFrame | None, lexicon: Lexicon, *, least: float = 0.6, margin: float = 0.05, still: float = 0.02) -> DataFrame:
     """(item_key, catalog_id, confidence): the record of each mention that has one.
 
     ``mentions``: item_key, name, price, series - any number of rows for a thing, all its names mean one product.
     ``records``: catalog_id, name (in any language; a record may have several), grade, scale, price, series.
-    ``series``: a table of series' names, taken out of names. ``lexicon``: variants and talk, see ``names.lexicon_of``.
+    ``where``: the names of both with the series in them, see ``names.located``. ``lexicon``: variants and talk, see ``names.lexicon_of``.
 
     Null names say nothing; a mention without a readable name has no candidate. Nulls in grade, scale, price or
     series neither help nor veto. Repeated rows count once; the names' rows are pre-aggregated before parsing, so
@@ -60,7 +60,7 @@ def link_mentions(mentions: DataFrame, records: DataFrame, series: DataFrame | N
     # What each mention says
     plain = mentions.filter("item_key is not null and name is not null")
     each = plain.groupBy("item_key", "name").agg(F.mode("price", deterministic=True).alias("price"), said("series"))
-    head = parsed(each.withColumnRenamed("series", "told"), "name", series, lexicon, ("item_key", "price", "told"))
+    head = parsed(each.withColumnRenamed("series", "told"), "name", where, lexicon, ("item_key", "price", "told"))
     names = cut(readings(head, "item_key", "price", "told"))
     about = names.groupBy("item_key").agg(
         said("grade"), said("scale"), said("code"), F.mode("price", deterministic=True).alias("price"), F.mode("sure", deterministic=True).alias("variant"),
@@ -73,7 +73,7 @@ def link_mentions(mentions: DataFrame, records: DataFrame, series: DataFrame | N
     # Records: each reading of each name; what the names don't say, the columns do
     plain = records.filter("catalog_id is not null and name is not null")
     got = plain.groupBy("catalog_id", "name").agg(*(F.max(c).alias(c) for c in ("grade", "scale", "price", "series")))
-    got = parsed(got.withColumnsRenamed({"grade": "g", "scale": "s", "price": "p", "series": "t"}), "name", series, lexicon, ("catalog_id", "g", "s", "p", "t"))
+    got = parsed(got.withColumnsRenamed({"grade": "g", "scale": "s", "price": "p", "series": "t"}), "name", where, lexicon, ("catalog_id", "g", "s", "p", "t"))
     got = readings(got, "catalog_id", "g", "s", "p", "t")
     scale = F.coalesce(F.nullif("scale", F.lit("")), F.nullif(F.regexp_extract("s", r"1/(\d+)", 1), F.lit("")))
     grade = F.coalesce(F.nullif("grade", F.lit("")), F.nullif(F.regexp_replace("g", r"/.*", ""), F.lit("")))

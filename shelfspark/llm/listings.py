@@ -35,10 +35,10 @@ def trigrams(key: Column) -> Column:
 COMMON = 200  # forms of a token from which it is refined
 
 
-def same_product(listings: DataFrame, series: DataFrame | None, lexicon: Lexicon, *, least: float = 0.4) -> DataFrame:
+def same_product(listings: DataFrame, where: DataFrame | None, lexicon: Lexicon, *, least: float = 0.4) -> DataFrame:
     """(listing_id, product): listings with the same ``product`` sell the same thing.
 
-    ``series``: a table of series' names, taken out of names. ``lexicon``: variants and talk, see ``names.lexicon_of``. Prices
+    ``where``: the names with the series in them, see ``names.located``. ``lexicon``: variants and talk, see ``names.lexicon_of``. Prices
     in yen are compared with others by the ratio that listings of one form and grade show.
 
     ``listings``: listing_id, name, price, currency. Repeated rows count once; a null name, or one without a
@@ -47,7 +47,7 @@ def same_product(listings: DataFrame, series: DataFrame | None, lexicon: Lexicon
     """
     rows = listings.filter("listing_id is not null and name is not null").groupBy("listing_id", "name").agg(F.max("price").alias("price"), F.max("currency").alias("currency"))
     kept = ("listing_id", "price", "currency")
-    got = parsed(rows, "name", series, lexicon, kept)
+    got = parsed(rows, "name", where, lexicon, kept)
     flat = F.regexp_replace("key", " ", "")
     spoken = F.when((F.col("latin") != "") & (F.col("latin") != flat), _latin_key(F.col("latin")))
     got = got.withColumns({"key": F.coalesce(spoken, "key"), "either": F.when(spoken.isNull(), F.col("either")).otherwise("")}).filter("key != ''")

@@ -4,8 +4,9 @@ Each document of a source gets the same expected number of copies: what its sour
 source has. The whole part is given to every document; the fraction is rounded by the pivotal method, so that the
 tokens of a source come out as owed to within one document. Two documents with fractions p, q and sizes s, t move
 mass between them, s*p + t*q staying the same, until one fraction is 0 or 1; the direction is drawn so that each
-keeps its expectation. Every partition does that for its own documents and has at most one left a source; what
-is left goes up a reduction tree.
+keeps its expectation. Every bucket does that for its own documents and has at most one left a source; what
+is left goes up a reduction tree. A document goes to the bucket and place that its id's hash says and draws come from
+that too, so a mix depends on the documents only.
 """
 
 from __future__ import annotations
@@ -110,6 +111,7 @@ def pivot(rows, rng) -> tuple[list[tuple], list[tuple]]:  # noqa: ANN001
 
 
 EDGE = 1e-9
+BUCKET = 10_000
 
 
 def mix(documents: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str | None = None, total: float | None = None, seed: int = 11) -> DataFrame:
@@ -117,11 +119,12 @@ def mix(documents: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", tex
 
     ``targets``: source, target_share, max_repeat, one row for each source (a few; they are held by the driver).
     Sources are compared in one spelling. Documents of other or no source, and those without a token, are used 0
-    times and have no row. Repeated rows of a doc_id count once. No document is used more than max_repeat times; a
+    times and have no row. Of repeated rows of a doc_id the one with most tokens counts, then the greatest source. No document is used more than max_repeat times; a
     source without documents gives nothing. Empty tables give no row.
 
-    Whichever partition is computed again decides the same: its rows come from a checkpoint in their order and
-    the draws are seeded by the partition. The tree has a fan-in of 64; its last step holds one row a source.
+    Documents are put into buckets of about ``BUCKET`` by a hash of their id, taken in its order, and draws are seeded by bucket and
+    source: the mix depends on the documents alone, not on the cluster, nor on what is computed again. The tree has a
+    fan-in of 64; its last step holds one row a source.
     """
     vocabulary = vocabulary or os.path.join(TOKENIZERS, VOCABULARY)
     spark = documents.sparkSession
@@ -131,43 +134,49 @@ def mix(documents: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", tex
     if not want:
         return spark.createDataFrame([], out_schema)
     docs = documents.select(F.col(doc_id).alias("doc_id"), source_key(F.col(source)).alias("source"), F.col(text).alias("text"))
-    docs = docs.filter(F.col("source").isin(*want)).dropna().dropDuplicates(["doc_id"])
-    sized = cut(token_counts(docs, vocabulary, ("doc_id", "source")).filter("tokens > 0"))
+    docs = docs.filter(F.col("source").isin(*want)).dropna()
+    sized = token_counts(docs, vocabulary, ("doc_id", "source")).filter("tokens > 0")  # the texts aren't shuffled
+    sized = sized.groupBy("doc_id").agg(F.max(F.struct("tokens", "source")).alias("x")).select("doc_id", "x.source", "x.tokens")
+    sized = cut(sized)
+    buckets = max(1, math.ceil(sized.count() / BUCKET))
+    hashed = F.xxhash64("doc_id", F.lit(seed))
+    sized = sized.withColumns({"bucket": F.pmod(hashed, F.lit(buckets)), "h": hashed})
     has = {r["source"]: r["t"] for r in sized.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
     give = owed([(k, s, m, has.get(k, 0)) for k, (s, m) in want.items()], total)
     rate = {k: min(give[k] / has[k], float(want[k][1])) for k in has}
     whole = {k: int(math.floor(v + EDGE)) for k, v in rate.items()}
 
-    state_schema = f"doc_id {kind}, source string, tokens bigint, p double, pick int"
+    state_schema = f"doc_id {kind}, source string, tokens bigint, bucket bigint, h bigint, p double, pick int"
+    names = [f.split()[0] for f in state_schema.split(", ")]
 
     def level(step: int, first: bool):  # noqa: ANN202
         def run(batches):  # noqa: ANN001, ANN202
-            from pyspark import TaskContext
-
-            rng = np.random.default_rng([seed, step, TaskContext.get().partitionId()])
-            left: dict[str, list[tuple]] = {}
+            left: dict[tuple, list[tuple]] = {}
+            draws: dict[tuple, np.random.Generator] = {}
             for b in batches:
                 rows = []
-                for k, g in b.groupby("source", sort=True):
+                for (u, k), g in b.groupby(["bucket", "source"], sort=True):
+                    rng = draws.setdefault((u, k), np.random.default_rng([seed, step, int(u), *k.encode()]))
                     p = np.full(len(g), rate[k] - whole[k]) if first else g["p"].to_numpy()
-                    key = list(zip(g["doc_id"].tolist(), g["tokens"].tolist(), strict=True))
-                    done, left[k] = pivot([*left.get(k, []), *((x, float(q), x[1]) for x, q in zip(key, p, strict=True))], rng)
-                    rows += [(i, k, t, None, pick) for (i, t), pick in done]
+                    key = list(zip(g["doc_id"].tolist(), g["tokens"].tolist(), g["h"].tolist(), strict=True))
+                    done, left[u, k] = pivot([*left.get((u, k), []), *((x, float(q), x[1]) for x, q in zip(key, p, strict=True))], rng)
+                    rows += [(i, k, t, u, h, None, pick) for (i, t, h), pick in done]
                 yield table(rows)
-            yield table([(i, k, t, p, None) for k, v in left.items() for (i, t), p, _ in v])
+            yield table([(i, k, t, u, h, p, None) for (u, k), v in left.items() for (i, t, h), p, _ in v])
 
         return run
 
     def table(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["doc_id", "source", "tokens", "p", "pick"])
-        return out.astype({"p": "float64", "pick": "Int32"})
+        return pd.DataFrame(rows, columns=names).astype({"p": "float64", "pick": "Int32"})
+
+    def decide(rows: DataFrame, step: int) -> DataFrame:
+        return cut(rows.repartition("bucket").sortWithinPartitions("bucket", "source", "h", "doc_id").mapInPandas(level(step, step == 0), state_schema))
 
-    now = cut(sized.mapInPandas(level(0, True), state_schema))
+    now, step = decide(sized, 0), 0
     decided, left = now.filter("pick is not null"), now.filter("pick is null")
-    parts, step = sized.rdd.getNumPartitions(), 0
-    while parts > 1:
-        parts, step = math.ceil(parts / 64), step + 1
-        now = cut(left.repartitionByRange(parts, "source", "doc_id").sortWithinPartitions("source", "doc_id").mapInPandas(level(step, False), state_schema))
+    while buckets > 1:
+        buckets, step = math.ceil(buckets / 64), step + 1
+        now = decide(left.withColumn("bucket", F.floor(F.col("bucket") / 64)), step)
         decided, left = decided.unionByName(now.filter("pick is not null")), now.filter("pick is null")
     # one document a source at most: by its own probability
     last = left.withColumn("pick", (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_003)) / 1_000_003 < F.col("p")).cast("int"))

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..plans.run import cut
 from .lexicon import Lexicon, bare, learn, loose, words_of
-from .lookalike import one_form
+from .lookalike import canonical, one_form
 
 # Grades as they are written, longest first where one begins another.
 GRADES = {
@@ -126,9 +126,9 @@ class Parser:
         m = self._grades.search(text)
         return GRADES[m[0].lower()] if m else ""
 
-    def __call__(self, text: str, series: tuple[str, ...] = ()) -> Name:
-        """``series``: the bare series that stand in the text."""
-        t = one_form(text)
+    def __call__(self, text: str, series: tuple[str, ...] = (), formed: bool = False) -> Name:
+        """``series``: the bare series that stand in the text; ``formed``: the text is in its one form."""
+        t = text if formed else one_form(text)
         grade = scale = code = latin = ""
         contents, variant = [], []
         if m := _BRACKET.match(t):
@@ -245,28 +245,37 @@ def spells(key: str) -> list[str]:
 FIELDS = "key string, latin string, grade string, scale string, code string, variant string, contents string, series string, rest string, either string, size string"
 
 
-def series_in(names: DataFrame, text: str, series: DataFrame, longest: int = 5) -> DataFrame:
-    """(text, in_text): the distinct texts that hold a series of ``series`` (its one column) as words, with those."""
-    kind = F.pandas_udf(lambda s: s.map(lambda x: bare(one_form(x)), na_action="ignore"), T.StringType())
-    known = series.toDF("s").dropna().distinct().select(kind("s").alias("phrase")).filter(F.length("phrase") > 1).distinct()
+@F.pandas_udf(T.StringType())
+def _bare(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: bare(one_form(x)), na_action="ignore")
+
+
+def located(names: DataFrame, text: str, series: DataFrame | None, longest: int = 5) -> DataFrame:
+    """(text, form, in_text): the distinct texts in their one form, with the series of ``series`` (a table of one column, of any
+    size) that they hold as words. Computed once, for the lexicon and the parser."""
+    forms = cut(names.select(F.col(text).alias("text")).dropna().distinct().select("text", canonical(F.col("text")).alias("form")))
+    if series is None:
+        return forms.withColumn("in_text", F.lit(None).cast("array<string>"))
+    known = series.toDF("s").dropna().distinct().select(_bare("s").alias("phrase")).filter(F.length("phrase") > 1).distinct()
 
     def run(batches):  # noqa: ANN001, ANN202
         for b in batches:
             rows = set()
-            for t in b["t"]:
+            for t in b["form"]:
                 for words in words_of(t, lambda x: x):
                     rows |= {(t, "".join(words[i:k])) for i in range(len(words)) for k in range(i + 1, min(i + longest, len(words)) + 1)}
-            yield pd.DataFrame(list(rows), columns=["text", "phrase"])
+            yield pd.DataFrame(list(rows), columns=["form", "phrase"])
 
-    each = names.select(F.col(text).alias("t")).dropna().distinct().mapInPandas(run, "text string, phrase string")
-    return each.join(known, "phrase").groupBy("text").agg(F.collect_list("phrase").alias("in_text"))  # a text's few series
+    each = forms.select("form").distinct().mapInPandas(run, "form string, phrase string")
+    found = each.join(known, "phrase").groupBy("form").agg(F.collect_list("phrase").alias("in_text"))  # a text's few series
+    return cut(forms.join(found, "form", "left").select("text", "form", "in_text"))
 
 
-def parsed(names: DataFrame, text: str, series: DataFrame | None, lexicon: Lexicon, keep: tuple[str, ...]) -> DataFrame:
+def parsed(names: DataFrame, text: str, where: DataFrame | None, lexicon: Lexicon, keep: tuple[str, ...]) -> DataFrame:
     """``names`` (its columns ``keep``) with the fields of ``Name`` for ``text``; null text gives no row.
 
-    ``series``: a table of series' names, of any size, joined by the words of the texts. Each row is parsed on its own, in
-    batches: make the names distinct first.
+    ``where``: ``located`` texts; without it no series is taken out. Each row is parsed on its own, in batches: make the names
+    distinct first.
     """
     kinds = [f for f in names.select(*keep).schema]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kinds] + [FIELDS])
@@ -274,21 +283,20 @@ def parsed(names: DataFrame, text: str, series: DataFrame | None, lexicon: Lexic
     def run(batches):  # noqa: ANN001, ANN202
         parser = Parser(lexicon)
         for b in batches:
-            got = pd.DataFrame([parser(t, () if s is None else tuple(s)) for t, s in zip(b["__text"], b["in_text"], strict=True)], columns=[f.strip().split()[0] for f in FIELDS.split(",")])
-            yield pd.concat([b[list(keep)].reset_index(drop=True), got], axis=1)
+            got = [parser(t, () if s is None else tuple(s), formed) for t, s, formed in zip(b["__text"], b["in_text"], b["__formed"], strict=True)]
+            yield pd.concat([b[list(keep)].reset_index(drop=True), pd.DataFrame(got, columns=[f.strip().split()[0] for f in FIELDS.split(",")])], axis=1)
 
     rows = names.selectExpr(*(f"`{k}`" for k in keep), f"`{text}` as __text").filter("__text is not null")
-    if series is None:
-        rows = rows.withColumn("in_text", F.lit(None).cast("array<string>"))
+    if where is None:
+        rows = rows.withColumns({"in_text": F.lit(None).cast("array<string>"), "__formed": F.lit(False)})
     else:
-        rows = rows.join(series_in(names, text, series).withColumnRenamed("text", "__text"), "__text", "left").select(*keep, "__text", "in_text")
+        rows = rows.join(where.withColumnRenamed("text", "__text"), "__text").select(*keep, F.col("form").alias("__text"), "in_text", F.lit(True).alias("__formed"))
     return rows.mapInPandas(run, schema)
 
 
 @F.pandas_udf(T.StringType())
 def _without(text: pd.Series, in_text: pd.Series) -> pd.Series:
     def one(t: str, found) -> str:  # noqa: ANN001
-        t = one_form(t)
         for k in sorted(found, key=len, reverse=True) if found is not None else ():
             t = _loose(k).sub(" | ", t)
         return t
@@ -296,10 +304,12 @@ def _without(text: pd.Series, in_text: pd.Series) -> pd.Series:
     return pd.Series([one(t, f) for t, f in zip(text, in_text, strict=True)])
 
 
-def lexicon_of(texts: DataFrame, pairs: DataFrame, series: DataFrame | None = None) -> Lexicon:
-    """The lexicon of ``texts`` (text, price) and of a catalogue's names ``pairs`` (ja, ko); series are no affixes."""
+def lexicon_of(texts: DataFrame, pairs: DataFrame, where: DataFrame | None = None) -> Lexicon:
+    """The lexicon of ``texts`` (text, price) and of a catalogue's names ``pairs`` (ja, ko); the series of ``where``, the
+    ``located`` texts, are no affixes."""
     parser = Parser()
     rows = texts.filter("text is not null").groupBy("text").agg(F.median("price").alias("price"))
-    if series is not None:
-        rows = rows.join(series_in(rows, "text", series), "text", "left").select(_without("text", "in_text").alias("text"), "price")
+    where = located(rows, "text", None) if where is None else where
+    rows = rows.join(where, "text").select(F.when(F.col("in_text").isNull(), F.col("form")).otherwise(_without("form", "in_text")).alias("text"), "price")
+    pairs = cut(pairs.distinct().select(canonical(F.col("ja")).alias("ja"), canonical(F.col("ko")).alias("ko")))
     return learn(cut(rows), pairs, parser.plain, skip=READ, grade=parser.grade)

@@ -40,9 +40,9 @@ def p5_products(spark: SparkSession, d: str) -> DataFrame:
     """Problem 5: each listing with the product it sells."""
     skew_aware(spark)
     rows = table(spark, d, "shop_listing").select("listing_id", "name", "price", "currency")
-    series = series_of(spark, d)
-    lexicon = names.lexicon_of(rows.select(F.col("name").alias("text"), F.when(F.col("currency") == "KRW", F.col("price")).alias("price")), catalog_names(spark, d), series)
-    return listings.same_product(rows, series, lexicon)
+    where = names.located(rows, "name", series_of(spark, d))
+    lexicon = names.lexicon_of(rows.select(F.col("name").alias("text"), F.when(F.col("currency") == "KRW", F.col("price")).alias("price")), catalog_names(spark, d), where)
+    return listings.same_product(rows, where, lexicon)
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -79,12 +79,13 @@ def unlinked(spark: SparkSession, d: str, *, known: bool = False) -> DataFrame:
 def p2_links(spark: SparkSession, d: str, *, known: bool = False) -> DataFrame:
     """Problem 2: mall goods and arrival codes with their catalogue item and a confidence."""
     skew_aware(spark)
-    catalog, series = table(spark, d, "catalog_gunpla"), series_of(spark, d)
+    catalog = table(spark, d, "catalog_gunpla")
     each = F.explode(F.array("nameJa", "nameKo")).alias("name")
     records = catalog.select(F.col("id").alias("catalog_id"), each, "grade", "scale", F.col("priceJpy").alias("price"), F.col("seriesKo").alias("series"))
     mentions = unlinked(spark, d, known=known)
-    lexicon = names.lexicon_of(mentions.select(F.col("name").alias("text"), "price"), catalog_names(spark, d), series)
-    return link.link_mentions(mentions, records, series, lexicon)
+    where = names.located(mentions.select("name").union(records.select("name")), "name", series_of(spark, d))
+    lexicon = names.lexicon_of(mentions.select(F.col("name").alias("text"), "price"), catalog_names(spark, d), where)
+    return link.link_mentions(mentions, records, where, lexicon)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

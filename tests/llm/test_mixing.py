@@ -45,9 +45,19 @@ def test_mix(spark):
     rep = {r.source: r for r in mixing.report(got, t).collect()}
     assert rep["e"].actual_share == 0 and abs(rep["a_b"].actual_share - 2 / 3) < 0.02 and abs(rep["c"].actual_share - 1 / 3) < 0.02
     assert sorted(map(tuple, mixing.mix(df, t).collect())) == sorted(map(tuple, rows))
+    assert sorted(map(tuple, mixing.mix(df.repartition(11), t).collect())) == sorted(map(tuple, rows))  # whatever the partitions
     assert mixing.mix(df.limit(0), t).count() == 0 and mixing.mix(df, t.limit(0)).count() == 0
 
 
+@needs
+def test_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", 2)  # a tree of three levels
+    df = spark.createDataFrame([(i, "word " * (5 + i % 7), "ab"[i % 2]) for i in range(400)], "doc_id long, text string, source string")
+    t = spark.createDataFrame([("a", 0.75, 1), ("b", 0.25, 1)], "source string, target_share double, max_repeat int")
+    rep = {r.source: r for r in mixing.report(mixing.mix(df, t), t).collect()}
+    assert abs(rep["a"].actual_share - 0.75) < 0.01 and rep["a"].most_copies == 1 and rep["a"].documents == rep["b"].documents == 200
+
+
 @needs
 def test_tokens_round_trip():
     e = mixing.encoder(VOCABULARY)

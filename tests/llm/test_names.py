@@ -1,6 +1,6 @@
 from words import LEXICON
 
-from shelfspark.llm.names import Parser, series_in, sound, spells, syllables
+from shelfspark.llm.names import Parser, located, sound, spells, syllables
 
 P = Parser(LEXICON)
 
@@ -36,4 +36,5 @@ def test_what_no_rule_reads_tells_apart():
 def test_series_by_words(spark):
     names = spark.createDataFrame([("HG 사자비 굉뢰 도시 손자겐",), ("HG 굉뢰도시", ), (None,)], "n string")
     series = spark.createDataFrame([("굉뢰도시 손자겐",), (None,), ("x",)], "s string")
-    assert [tuple(r) for r in series_in(names, "n", series).collect()] == [("HG 사자비 굉뢰 도시 손자겐", ["굉뢰도시손자겐"])]
+    assert {r.text: r.in_text for r in located(names, "n", series).collect()} == {"HG 사자비 굉뢰 도시 손자겐": ["굉뢰도시손자겐"], "HG 굉뢰도시": None}
+    assert located(names, "n", None).count() == 2
