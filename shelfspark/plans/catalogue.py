@@ -16,12 +16,12 @@ from ..operators import quality as Q
 from ..operators import ranking as R
 from ..operators import resolve as X
 from ..sources import readers, writers
-from . import find, problems, upkeep
+from . import find, merges, problems, upkeep
 from .oracles import P1, P1_PARTIAL, P1_REPORT, P3, P3_DAILY
 from .run import cut, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = problems.QUERIES | upkeep.QUERIES | find.QUERIES
-ORACLES: dict[str, str] = upkeep.ORACLES | find.ORACLES | {"p1_found": P1, "p1_report": P1_REPORT, "p1_partial": P1_PARTIAL, "p3_found": P3, "p3_daily": P3_DAILY}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = problems.QUERIES | upkeep.QUERIES | find.QUERIES | merges.QUERIES
+ORACLES: dict[str, str] = upkeep.ORACLES | find.ORACLES | merges.ORACLES | {"p1_found": P1, "p1_report": P1_REPORT, "p1_partial": P1_PARTIAL, "p3_found": P3, "p3_daily": P3_DAILY}
 
 
 def query(sql: str | None):  # noqa: ANN201
@@ -105,14 +105,6 @@ def snapshot_health(spark, d):
     return n.select("month", "n", M.healthy(F.col("n"), F.col("before"), F.lit(True)).alias("healthy"))
 
 
-@query("""WITH m AS (SELECT gno, min(first) AS first, max(seen) AS seen FROM mall_good GROUP BY gno), t AS (SELECT max(seen) AS t FROM mall_good)
- SELECT gno, first, seen, seen < t AS ended FROM m, t""")
-def snapshot_absorb(spark, d):
-    goods = table(spark, d, "mall_good").groupBy("gno").agg(F.min("first").alias("first"), F.max("seen").alias("seen"))
-    last = goods.agg(F.max("seen").alias("t"))
-    return goods.join(F.broadcast(last)).select("gno", "first", "seen", (F.col("seen") < F.col("t")).alias("ended"))
-
-
 @query("""WITH c AS (SELECT id, max(nameKoJoy) AS joy, max(nameKoAi) AS ai, max(nameKo) AS ko FROM catalog_gunpla GROUP BY id),
  n AS (SELECT id, CASE WHEN trim(joy) <> '' THEN joy END AS joy, CASE WHEN trim(ai) <> '' THEN ai END AS ai, CASE WHEN trim(ko) <> '' THEN ko END AS ko FROM c)
  SELECT id, coalesce(joy, ai, ko) AS name, CASE WHEN joy IS NOT NULL THEN 'joy' WHEN ai IS NOT NULL THEN 'ai' WHEN ko IS NOT NULL THEN 'ko' END AS source FROM n""")
@@ -121,17 +113,6 @@ def source_precedence_name(spark, d):
     return M.precedence(c, ["joy", "ai", "ko"], "name", "source").select("id", "name", "source")
 
 
-_OVERRIDES = [(1, None), (2, 7), (3, 9), (999999999, 5)]
-
-
-@query("""WITH o(k, t) AS (VALUES (1, NULL), (2, 7), (3, 9), (999999999, 5)), l AS (SELECT p_partkey AS k, p_size AS t FROM part)
- SELECT coalesce(l.k, o.k) AS part, CAST(CASE WHEN o.k IS NOT NULL THEN o.t ELSE l.t END AS INTEGER) AS target FROM l FULL JOIN o ON l.k = o.k
- WHERE CASE WHEN o.k IS NOT NULL THEN o.t ELSE l.t END IS NOT NULL""")
-def override_links(spark, d):
-    links = table(spark, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_size").alias("target"))
-    return M.forced(links, spark.createDataFrame(_OVERRIDES, "part long, target int"), "part", "target")
-
-
 @query("""WITH c AS (SELECT id, max(series) AS series, max(grade) AS grade FROM catalog_gunpla GROUP BY id), k AS (SELECT DISTINCT id, catalogId, series, grade FROM kit)
  SELECT k.id AS id, CASE WHEN (k.series IS NULL OR trim(k.series) = '') AND c.series IS NOT NULL THEN c.series ELSE k.series END AS series,
  CASE WHEN (k.grade IS NULL OR trim(k.grade) = '') AND c.grade IS NOT NULL THEN c.grade ELSE k.grade END AS grade,
@@ -159,15 +140,6 @@ def intersect_count(spark, d):
     return table(spark, d, "excluded").select("id").intersect(table(spark, d, "catalog_gunpla").select("id")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH f AS (SELECT id, min(added) AS added, max(titleKo) AS titleKo, max(title) AS title FROM feed GROUP BY id) SELECT id, added, coalesce(titleKo, title) AS title FROM f
- WHERE id NOT IN (SELECT f2.id FROM feed f2 JOIN excluded e ON f2.catalogId = e.id) ORDER BY added DESC, id DESC LIMIT 1000""")
-def feed_merge_cap(spark, d):
-    feed = table(spark, d, "feed").select("id", "added", "titleKo", "title", "catalogId")
-    gone = feed.join(table(spark, d, "excluded").select(F.col("id").alias("catalogId")).distinct(), "catalogId", "left_semi").select("id").distinct()
-    rows = feed.groupBy("id").agg(F.min("added").alias("added"), F.max("titleKo").alias("titleKo"), F.max("title").alias("title")).join(gone, "id", "left_anti")
-    return rows.orderBy(F.desc("added"), F.desc("id")).limit(1000).select("id", "added", F.coalesce("titleKo", "title").alias("title"))
-
-
 @query("""WITH c AS (SELECT id, max(nameKo) AS nameKo FROM catalog_gunpla GROUP BY id), k AS (SELECT catalogId, count(DISTINCT id) AS kits FROM kit WHERE catalogId IS NOT NULL GROUP BY 1),
  f AS (SELECT DISTINCT id, catalogId, titleKo, title FROM feed) SELECT f.id AS id, coalesce(f.titleKo, c.nameKo, f.title) AS title, coalesce(k.kits, 0) AS kits FROM f LEFT JOIN c ON f.catalogId = c.id LEFT JOIN k ON f.catalogId = k.catalogId""")
 def feed_enriched(spark, d):
