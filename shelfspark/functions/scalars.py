@@ -156,6 +156,14 @@ def data_uri(c: Column) -> Column:
     return F.when(c.rlike(p), F.struct(F.regexp_extract(c, p, 1).alias("mime"), F.unbase64(F.regexp_extract(c, p, 2)).alias("bytes")))
 
 
+def reference(text: Column, host: str) -> Column:
+    """The item's id in a pasted text: a page of ``host`` (a pattern), an id, or a number; null for none, and beyond 300 characters."""
+    get = lambda p: F.regexp_extract(text, "(?i)" + p, 1)
+    page, number, shop, own = get(host + r"/item/(\d{2}_\d+)"), get(r"^(?:bh-)?(\d{2}_\d+)\z"), get(host + r"/item/(item-\d+)"), get(r"^pb-(item-\d+)\z")
+    found = F.when(page != "", F.concat(F.lit("bh-"), page)).when(number != "", F.concat(F.lit("bh-"), number)).when(shop != "", F.concat(F.lit("pb-"), shop)).when(own != "", F.concat(F.lit("pb-"), own))
+    return F.when(F.length(text) <= 300, found)
+
+
 def stripped(name: Column, grade: Column, scale: Column, *, loose: bool = False) -> Column:
     """A name without its leading grade (any width and case) and then its leading scale, each as a word of its own. ``loose`` also
     takes a word that begins with the grade's letters, of up to four letters more and a letter behind a colon. Null is empty."""

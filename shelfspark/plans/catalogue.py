@@ -15,13 +15,13 @@ from ..operators import merge as M
 from ..operators import quality as Q
 from ..operators import ranking as R
 from ..operators import resolve as X
-from ..sources import readers, writers
-from . import find, merges, problems, upkeep
+from ..sources import writers
+from . import find, merges, pages, problems, upkeep
 from .oracles import P1, P1_PARTIAL, P1_REPORT, P3, P3_DAILY
 from .run import cut, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = problems.QUERIES | upkeep.QUERIES | find.QUERIES | merges.QUERIES
-ORACLES: dict[str, str] = upkeep.ORACLES | find.ORACLES | merges.ORACLES | {"p1_found": P1, "p1_report": P1_REPORT, "p1_partial": P1_PARTIAL, "p3_found": P3, "p3_daily": P3_DAILY}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = problems.QUERIES | upkeep.QUERIES | find.QUERIES | merges.QUERIES | pages.QUERIES
+ORACLES: dict[str, str] = upkeep.ORACLES | find.ORACLES | merges.ORACLES | pages.ORACLES | {"p1_found": P1, "p1_report": P1_REPORT, "p1_partial": P1_PARTIAL, "p3_found": P3, "p3_daily": P3_DAILY}
 
 
 def query(sql: str | None):  # noqa: ANN201
@@ -388,33 +388,9 @@ def text_lines(spark, d):
     return lines.groupBy("doc_id").agg(F.count_if(F.trim("x") != "").alias("lines"))
 
 
-@query("""SELECT DISTINCT id, code, name FROM (SELECT post AS id, code, name, row_number() OVER (PARTITION BY post, code ORDER BY name) AS k FROM arrival_row WHERE name IS NOT NULL AND regexp_matches(code, '^BD[0-9]{7}$')) WHERE k = 1""")
-def line_record_parse(spark, d):
-    """Records written as lines and read again: code and name of each post's arrivals."""
-    rows = table(spark, d, "arrival_row").filter("name is not null").groupBy("post", "code").agg(F.min("name").alias("name"))
-    line = F.concat_ws("\n", "code", F.regexp_replace("name", r"[\r\n]+", " "))
-    posts = rows.groupBy(F.col("post").alias("id")).agg(F.concat_ws("\n", F.array_sort(F.collect_list(line))).alias("text"))
-    got = readers.line_records(posts, "id", "text", r"^BD\d{7}$", r"^[\d,]+원?$").drop("price")
-    return got.join(rows.select(F.col("post").alias("id"), "code", F.col("name").alias("whole")), ["id", "code"]).select("id", "code", F.col("whole").alias("name"))
-
-
 @query("""SELECT DISTINCT concat_ws(', ', id) AS "Id", coalesce(name, '') AS "Name", coalesce(CASE WHEN price <> 0 THEN CAST(price AS VARCHAR) END, '') AS "Price", array_to_string(coalesce(tags, []), ', ') AS "Tags" FROM kit""")
 def export_rows(spark, d):
     return writers.export_rows(table(spark, d, "kit").select("id", "name", "price", "tags").distinct(), {"id": "Id", "name": "Name", "price": "Price", "tags": "Tags"})
 
 
-@query("""SELECT DISTINCT gno, CASE WHEN soldOut THEN 'soldout' ELSE cate END AS file FROM mall_good""")
-def routed_files(spark, d):
-    return table(spark, d, "mall_good").select("gno", F.when(F.col("soldOut"), "soldout").otherwise(F.col("cate")).alias("file")).distinct()
-
-
-@query(None)
-def page_parse(spark, d):
-    """Pages made of the catalogue's items, parsed again."""
-    items = table(spark, d, "catalog_gunpla").select("id", "url", "nameJa").dropDuplicates(["id"])
-    html = F.concat(F.lit("<html lang='ja'><title>"), "id", F.lit("</title><h1>"), "nameJa", F.lit("</h1><a href='"), "url", F.lit("'>x</a></html>"))
-    got = items.select("id", readers.page(html).alias("p"))
-    return got.select("id", "p.title", "p.h1", "p.lang", F.size("p.links").alias("links"))
-
-
 __all__ = ["ORACLES", "QUERIES"]

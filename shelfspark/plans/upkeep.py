@@ -53,10 +53,14 @@ def price_release_parse(spark, d):
     return t.select("id", price.alias("price"), month.alias("month"), F.when(F.col("t").rlike("日発"), F.concat_ws("-", month, pad(3))).alias("date")).distinct()
 
 
-@query("""SELECT DISTINCT id, CASE WHEN url LIKE '%/item/item-%' THEN 'pb' ELSE 'bh' END AS kind, regexp_extract(url, '/item/(?:item-|01_)([0-9]+)/', 1) AS number FROM catalog_gunpla""")
+@query("""WITH r AS (SELECT DISTINCT id, trim(r) AS r FROM (SELECT id, unnest([url, id, replace(id, 'bh-', ''), pbUrl, 'x' || id, repeat('a', 301)]) AS r FROM catalog_gunpla))
+ SELECT id, r AS text, CASE WHEN length(r) > 300 THEN NULL WHEN regexp_matches(r, '(?i)site/item/[0-9]{2}_[0-9]+|example/item/[0-9]{2}_[0-9]+') THEN 'bh-' || regexp_extract(r, '/item/([0-9]{2}_[0-9]+)', 1) WHEN regexp_matches(r, '(?i)^(bh-)?[0-9]{2}_[0-9]+$') THEN 'bh-' || regexp_extract(r, '([0-9]{2}_[0-9]+)$', 1)
+  WHEN regexp_matches(r, '(?i)example/item/item-[0-9]+') THEN 'pb-' || regexp_extract(r, '/item/(item-[0-9]+)', 1) WHEN regexp_matches(r, '(?i)^pb-item-[0-9]+$') THEN r END AS ref FROM r WHERE r IS NOT NULL""")
 def reference_parser(spark, d):
-    got = table(spark, d, "catalog_gunpla").filter(F.length("url") <= 300)
-    return got.select("id", F.when(F.col("url").contains("/item/item-"), "pb").otherwise("bh").alias("kind"), F.regexp_extract("url", r"/item/(?:item-|01_)(\d+)/", 1).alias("number")).distinct()
+    """What a pasted text refers to: a page's address, an id or a number; null for anything else and for over 300 characters."""
+    each = F.array(F.col("url"), F.col("id"), F.replace("id", F.lit("bh-"), F.lit("")), F.col("pbUrl"), F.concat(F.lit("x"), "id"), F.repeat(F.lit("a"), F.lit(301)))
+    rows = table(spark, d, "catalog_gunpla").select("id", F.explode(F.array_compact(each)).alias("text")).distinct()
+    return rows.select("id", F.trim("text").alias("text"), S.reference(F.trim("text"), r"[\w.]+\.example").alias("ref"))
 
 
 @query("""SELECT DISTINCT id, len(photos) AS photos, CASE WHEN len(photos) > 0 THEN list_distinct(list_transform(photos, lambda p: p.src))[1] IS NOT NULL ELSE false END AS any, coalesce(cover, '') LIKE 'off:%' AS official FROM kit""")
@@ -91,10 +95,11 @@ def new_item_projection(spark, d):
     return c.select(F.replace("id", F.lit("-item-"), F.lit("-new-")).alias("id"), kind.alias("type"), F.coalesce("release.date", "release.month").alias("date"), F.try_element_at("images", F.lit(1)).alias("image")).distinct()
 
 
-@query(f"""SELECT DISTINCT id FROM feed WHERE datediff('day', CAST(substr(added, 1, 10) AS DATE), DATE '{TODAY}') BETWEEN 0 AND 30""")
+@query(f"""SELECT DISTINCT id FROM feed WHERE datediff('day', CAST(substr(added, 1, 10) AS DATE), DATE '{TODAY}') <= 30""")
 def recent_feed(spark, d):
+    # rows of days to come are recent too
     age = F.date_diff(F.lit(TODAY).cast("date"), F.substring("added", 1, 10).cast("date"))
-    return table(spark, d, "feed").filter(age.between(0, 30)).select("id").distinct()
+    return table(spark, d, "feed").filter(age <= 30).select("id").distinct()
 
 
 @query("""SELECT DISTINCT id FROM feed WHERE (contains(title, 'Ver.2') OR contains(title, '[MG]')) AND id NOT IN (SELECT id FROM feed WHERE type = 'kr-restock')""")
@@ -166,16 +171,16 @@ def reason_histogram(spark, d):
     return e.groupBy("reason").agg(F.count("*").alias("n")).join(near, "reason")
 
 
-@query("""WITH c AS (SELECT DISTINCT id, coalesce(release.date, release.month || '-00', '') AS key FROM catalog_gunpla) SELECT id, key FROM c ORDER BY key DESC, id DESC LIMIT 200""")
+@query("""WITH c AS (SELECT DISTINCT id, coalesce(release.date, release.month || '-00', '') AS key FROM catalog_gunpla) SELECT id, key FROM c ORDER BY key DESC, id DESC""")
 def catalog_order(spark, d):
     key = S.partial_date_key(F.coalesce("release.date", "release.month"))
-    return table(spark, d, "catalog_gunpla").select("id", F.coalesce(key, F.lit("")).alias("key")).distinct().orderBy(F.desc("key"), F.desc("id")).limit(200)
+    return table(spark, d, "catalog_gunpla").select("id", F.coalesce(key, F.lit("")).alias("key")).distinct().orderBy(F.desc("key"), F.desc("id"))
 
 
-@query("""WITH c AS (SELECT id, max(release.month) AS month, bool_or(line IS NOT NULL) AS known FROM catalog_gunpla GROUP BY id HAVING max(detailAt) IS NULL) SELECT id FROM c ORDER BY month DESC NULLS LAST, known DESC, id DESC LIMIT 100""")
+@query("""WITH c AS (SELECT id, max(release.month) AS month, bool_or(line IS NOT NULL) AS known FROM catalog_gunpla GROUP BY id HAVING max(detailAt) IS NULL) SELECT id FROM c ORDER BY month DESC NULLS LAST, known DESC, id DESC""")
 def backlog_order(spark, d):
     c = table(spark, d, "catalog_gunpla").groupBy("id").agg(F.max("release.month").alias("month"), F.bool_or(F.col("line").isNotNull()).alias("known"), F.max("detailAt").alias("at")).filter("at is null")
-    return c.orderBy(F.desc_nulls_last("month"), F.desc("known"), F.desc("id")).limit(100).select("id")
+    return c.orderBy(F.desc_nulls_last("month"), F.desc("known"), F.desc("id")).select("id")
 
 
 _OWNED = "SELECT DISTINCT catalogId FROM kit WHERE list = 'own' AND catalogId IS NOT NULL"
@@ -199,11 +204,27 @@ def feed_page(spark, d):
     return f.orderBy(F.desc("owned"), F.desc("added"), first, F.desc("date"), "id").limit(60).select("id", "owned")
 
 
-@query("""WITH k AS (SELECT id, max(name) AS name, max(price) AS price, min(grade) AS grade FROM kit GROUP BY id) SELECT id, price FROM k ORDER BY price DESC, CASE grade WHEN 'PG' THEN 0 WHEN 'MG' THEN 1 WHEN 'HG' THEN 2 ELSE 99 END, id LIMIT 100""")
+# Grades in the order of the collection.
+GRADES = ("PG", "MGEX", "MG", "MGSD", "RG", "HG", "EG", "RE/100", "FM", "SD", "SDCS", "SDEX", "BB", "30MM", "30MS", "30MP", "Figure-rise Standard", "Figure-rise Standard Amplified")
+_RANK = "CASE grade " + " ".join(f"WHEN '{g}' THEN {i}" for i, g in enumerate(GRADES)) + " ELSE 99 END"
+_ARRIVED = f"""SELECT f.catalogId AS c, max(a.postDate) FILTER (WHERE a.postDate <= '{TODAY}') AS last FROM (SELECT DISTINCT catalogId, id FROM feed WHERE catalogId IS NOT NULL) f JOIN (SELECT DISTINCT post, code, postDate FROM arrival_row) a ON f.id = 'jh-' || a.post || '-' || a.code GROUP BY 1"""
+
+
+@query(f"""WITH k AS (SELECT id, max(name) AS name, max(price) AS price, min(grade) AS grade, max(doneDate) AS done, max(date) AS date, max(created) AS created, max(catalogId) AS c, max(list) AS list FROM kit GROUP BY id), a AS ({_ARRIVED})
+ SELECT id, list, coalesce(name, '') AS by_name, CASE WHEN k.c IS NULL OR k.c = '' THEN 2 WHEN last IS NOT NULL THEN 0 ELSE 1 END AS gap_group, coalesce(last, '9999-12-31') AS gap_key, {_RANK} AS by_grade, coalesce(price, 0) AS by_price, coalesce(done, '') AS by_done, coalesce(date, '') AS by_date, created AS by_created FROM k LEFT JOIN a ON k.c = a.c ORDER BY list, by_date DESC, by_created DESC, id""")
 def collection_order(spark, d):
-    k = table(spark, d, "kit").groupBy("id").agg(F.max("price").alias("price"), F.min("grade").alias("grade"))
-    rank = F.when(F.col("grade") == "PG", 0).when(F.col("grade") == "MG", 1).when(F.col("grade") == "HG", 2).otherwise(99)
-    return k.orderBy(F.desc("price"), rank, "id").limit(100).select("id", "price")
+    """The whole collection with the keys of its orders - name, gap, grade, price, completion, purchase, creation - in that of purchase."""
+    k = table(spark, d, "kit").groupBy("id").agg(*(F.max(c).alias(c) for c in ("name", "price", "doneDate", "date", "created", "list")), F.min("grade").alias("grade"), F.max("catalogId").alias("c"))
+    f = table(spark, d, "feed").filter("catalogId is not null").select(F.col("catalogId").alias("c"), F.col("id").alias("f")).distinct()
+    a = table(spark, d, "arrival_row").select(F.concat(F.lit("jh-"), "post", F.lit("-"), "code").alias("f"), "postDate").distinct()
+    last = f.join(a, "f").groupBy("c").agg(F.max(F.when(F.col("postDate") <= TODAY, F.col("postDate"))).alias("last"))
+    rank = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for i, g in enumerate(GRADES) for x in (g, i))), F.col("grade")), F.lit(99))
+    group = F.when(F.coalesce("c", F.lit("")) == "", 2).when(F.col("last").isNotNull(), 0).otherwise(1)
+    text = lambda c, n: F.coalesce(c, F.lit("")).alias(n)
+    both = k.join(last, "c", "left").select(
+        "id", "list", text("name", "by_name"), group.alias("gap_group"), F.coalesce("last", F.lit("9999-12-31")).alias("gap_key"), rank.alias("by_grade"), F.coalesce("price", F.lit(0)).alias("by_price"),
+        text("doneDate", "by_done"), text("date", "by_date"), F.col("created").alias("by_created"))
+    return both.orderBy("list", F.desc("by_date"), F.desc("by_created"), "id")
 
 
 @query("""WITH u AS (SELECT tag, 0 AS o, -count(*) AS k FROM (SELECT unnest(tags) AS tag FROM kit) GROUP BY tag UNION ALL SELECT tag, 1, i FROM (VALUES ('선물', 1), ('한정', 2), ('전시', 3)) v(tag, i)) , f AS (SELECT tag, min(o) AS o, arg_min(k, o) AS k FROM u GROUP BY tag) SELECT tag FROM f ORDER BY o, k, tag LIMIT 14""")

@@ -11,9 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def json_documents(spark: SparkSession, paths: Sequence[str], schema: T.StructType | str, *, key: str | None = None) -> DataFrame:
-    """JSON documents of a known schema, malformed ones as nulls. With a key, of several rows that of the last path."""
-    parts = [spark.read.schema(schema).option("mode", "PERMISSIVE").json(p).withColumn("__file", F.lit(i)) for i, p in enumerate(paths)]
+def json_documents(spark: SparkSession, paths: Sequence[str], schema: T.StructType | str, *, key: str | None = None, lines: bool = False, strict: bool = True) -> DataFrame:
+    """JSON documents of a known schema: objects or arrays of them over any number of lines, or one a line. A path that isn't there is an
+    empty table. Malformed documents raise when they are read, or give nulls if not ``strict``. With a key, of several rows that of the last path."""
+    parts = []
+    for i, path in enumerate(paths):
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if there.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(there):
+            rows = spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").option("multiLine", not lines).json(path)
+        else:
+            rows = spark.createDataFrame([], schema)
+        parts.append(rows.withColumn("__file", F.lit(i)))
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p, allowMissingColumns=True)
@@ -25,30 +33,47 @@ def json_documents(spark: SparkSession, paths: Sequence[str], schema: T.StructTy
 
 
 def delimited(spark: SparkSession, path: str, aliases: Mapping[str, Sequence[str]], required: str) -> DataFrame:
-    """Delimited text: tabs if the head has any, else commas. A header row is looked for in the first five rows: it
-    names at least two known columns and the required one; without one, columns come in the order of ``aliases``."""
-    head = [r[0] for r in spark.read.text(path).limit(5).collect()]
-    sep = "\t" if any("\t" in x for x in head) else ","
-    named = {a.lower(): c for c, names in aliases.items() for a in (c, *names)}
-    found: dict[int, str] = {}
-    line = None
-    for x in head:
-        cells = [c.strip().strip('"').lower() for c in x.split(sep)]
-        got = {i: named[c] for i, c in enumerate(cells) if c in named}
-        if len(got) >= 2 and required in got.values():
-            found, line = got, x
+    """Delimited text: tabs if there is one anywhere, else commas; quotes only where a field begins, doubled within.
+
+    A header row is looked for in the first five rows that aren't blank: it names at least two known columns and the required one,
+    exactly or by its beginning, the exact name first; rows down to it are dropped, by their place. Without one, columns come in
+    the order of ``aliases``. Blank rows and rows without the required value are dropped.
+    """
+    text = spark.read.text(path)
+    sep = "\t" if text.filter(F.contains("value", F.lit("\t"))).limit(1).count() else ","
+    reader = spark.read.option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True).option("maxColumns", 200)
+    wide = reader.schema(", ".join(f"c{i} string" for i in range(100)))
+    raw = wide.csv(path).withColumn("__i", F.monotonically_increasing_id())
+    filled = raw.filter(F.coalesce(*(F.nullif(F.trim(f"c{i}"), F.lit("")) for i in range(100))).isNotNull())
+    found: dict[str, int] = {}
+    start = -1
+    for row in filled.orderBy("__i").limit(5).collect():
+        got: dict[str, int] = {}
+        for i in range(100):
+            cell = (row[f"c{i}"] or "").strip().lower()
+            spelt = {c: [a.lower() for a in (c, *names)] for c, names in aliases.items() if c not in got}
+            exact = next((c for c, names in spelt.items() if cell in names), None)
+            column = exact or next((c for c, names in spelt.items() if cell and any(cell.startswith(a) for a in names)), None)
+            if column:
+                got[column] = i
+        if len(got) >= 2 and required in got:
+            found, start = got, row["__i"]
             break
-    width = len(found) and max(found) + 1 or len(aliases)
-    raw = spark.read.csv(path, sep=sep, quote='"', escape='"', schema=", ".join(f"c{i} string" for i in range(width)))
-    columns = found or dict(enumerate(aliases))
-    out = raw.select(*(F.trim(f"c{i}").alias(c) for i, c in columns.items() if i < width))
-    first = [c.strip().strip('"') for c in line.split(sep)] if line else None
-    if first:
-        same = F.lit(True)
-        for i, c in columns.items():
-            same = same & F.col(c).eqNullSafe(F.lit(first[i]))
-        out = out.filter(~same)
-    return out.filter(F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in out.columns)).isNotNull())
+    columns = found or {c: i for i, c in enumerate(aliases)}
+    rows = filled.filter(F.col("__i") > start) if found else filled
+    out = rows.select(*(F.coalesce(F.trim(f"c{i}"), F.lit("")).alias(c) for c, i in columns.items()))
+    return out.filter(F.col(required) != "")
+
+
+def legacy_kits(text: Column) -> Column:
+    """The kits of an old export: a bare array, an object's ``kits``, or either in a page's script of the id kit-data. array<struct<id, name,
+    photo>>, those without a name left out; ``photo`` is kept only where it is a base64 picture. Null where it is none of these."""
+    inner = F.regexp_extract(text, r"(?is)<script[^>]*id=[\"']kit-data[\"'][^>]*>(.*?)</script>", 1)
+    t = F.trim(F.when(inner != "", inner).otherwise(text))
+    kit = "array<struct<id: string, name: string, photo: string>>"
+    rows = F.coalesce(F.when(F.startswith(t, F.lit("[")), F.from_json(t, kit)), F.from_json(t, f"struct<kits: {kit}>")["kits"])
+    photo = lambda k: F.when(k["photo"].rlike(r"^data:image/(?:jpeg|png|webp|gif);base64,[A-Za-z0-9+/=\s]+\z"), k["photo"])
+    return F.transform(F.filter(rows, lambda k: F.trim(k["name"]) != ""), lambda k: F.struct(k["id"].alias("id"), k["name"].alias("name"), photo(k).alias("photo")))
 
 
 class _Page(HTMLParser):
