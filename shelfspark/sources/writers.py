@@ -23,8 +23,9 @@ def write_changed(df: DataFrame, path: str, kind: str = "parquet") -> bool:
 
 
 def write_routed(df: DataFrame, path: str, route: Column, order: Sequence[Column]) -> None:
-    """JSON lines, a folder for each value of ``route``, rows of a file in order."""
-    df.withColumn("file", route).repartition("file").sortWithinPartitions("file", *order).write.mode("overwrite").partitionBy("file").json(path)
+    """JSON lines, a folder for each value of ``route``, rows of a file in order. Rows are ranged by route and order, so a route with most of the
+    rows is written by several tasks, one file each, in order from file to file."""
+    df.withColumn("file", route).repartitionByRange("file", *order).sortWithinPartitions("file", *order).write.mode("overwrite").partitionBy("file").json(path)
 
 
 def export_rows(df: DataFrame, labels: dict[str, str]) -> DataFrame:

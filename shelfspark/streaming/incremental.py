@@ -21,12 +21,16 @@ def windowed(stream: DataFrame, at: str, late: str, size: str, *by: str) -> Data
 
 def merged(stream: DataFrame, path: str, checkpoint: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], available_now: bool = True) -> StreamingQuery:
     """Fold each micro-batch into a table of versions: batch n is written beside n - 1, so that a repeated batch
-    gives the same table and a reader sees whole ones."""
+    gives the same table and a reader sees whole ones; versions before n - 1 are removed. The table is written anew
+    for each batch: plain files have no update in place, so let batches be large beside the table."""
 
     def fold(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         old = spark.read.parquet(f"{path}/{n - 1}") if n else None
         merge(old, batch).write.mode("overwrite").parquet(f"{path}/{n}")
+        if n > 1:
+            before = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n - 2}")
+            before.getFileSystem(spark._jsc.hadoopConfiguration()).delete(before, True)
 
     writer = stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
