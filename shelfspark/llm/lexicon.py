@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,11 @@ def loose(phrase: str) -> str:
     return body if len(phrase) > 2 or re.match("[一-鿿ァ-ヺ]", phrase) else rf"(?<![가-힣\d]){body}(?![가-힣])"
 
 
+def where_begun(heads: str, pattern: str) -> str:
+    """A pattern that is tried only where one of the characters ``heads`` stands, each of its matches begins with one of them."""
+    return f"(?=[{re.escape(heads)}])(?:{pattern})"
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """``variants``: (spelling, variant), ``talk``: spellings; all bare."""
@@ -44,7 +50,9 @@ class Lexicon:
     @cached_property
     def pattern(self) -> re.Pattern:
         every = sorted({*dict(self.variants), *self.talk}, key=lambda x: (-len(x), x))
-        return re.compile("|".join(map(loose, every)) or r"(?!)", re.I)
+        if not every or not every[-1]:  # the last is the shortest
+            return re.compile("|".join(map(loose, every)) or r"(?!)", re.I)
+        return re.compile(where_begun("".join(sorted({x[0] for x in every})), "|".join(map(loose, every))), re.I)
 
     @cached_property
     def meaning(self) -> dict[str, str]:
@@ -63,33 +71,45 @@ class Lexicon:
 
 
 _PUNCTUATION = "-–~.,!?:;'\"…"
+_BETWEEN = re.compile(r"[\s\[\]()（）【】<>*★♥♡☆●■◆・,/]+")
 
 
 def words_of(text: str, plain) -> list[list[str]]:  # noqa: ANN001
     """The words of a name in its one form, between its grade, scale, number and the like, which ``plain`` replaces by bars."""
     out = []
     for part in plain(text).lower().split("|"):
-        words = (w.strip(_PUNCTUATION) for w in re.split(r"[\s\[\]()（）【】<>*★♥♡☆●■◆・,/]+", part))
+        words = (w.strip(_PUNCTUATION) for w in _BETWEEN.split(part))
         if words := [w for w in words if w]:
             out.append(words)
     return out
 
 
+def strings(rows, *names: str) -> pa.RecordBatch:  # noqa: ANN001
+    """A batch of string columns."""
+    rows = list(rows)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(len(names))], list(names))
+
+
 def neighbours(texts: DataFrame, text: str, plain, longest: int = 3) -> DataFrame:  # noqa: ANN001
     """(phrase, beside), distinct: the phrases of up to ``longest`` words and the words beside them."""
 
     def run(batches):  # noqa: ANN001, ANN202
         for b in batches:
             rows = set()
-            for t in b["t"]:
+            for t in b.column("t").to_pylist():
                 for words in words_of(t, plain):
-                    for i in range(len(words)):
-                        for k in range(i + 1, min(i + longest, len(words)) + 1):
-                            phrase = "".join(words[i:k])
-                            rows.update((phrase, w) for w in (words[i - 1 : i] if i else []) + words[k : k + 1])
-            yield pd.DataFrame(sorted(rows), columns=["phrase", "beside"])
+                    last = len(words)
+                    for i in range(last):
+                        phrase = ""
+                        for k in range(i, min(i + longest, last)):
+                            phrase += words[k]
+                            if i:
+                                rows.add((phrase, words[i - 1]))
+                            if k + 1 < last:
+                                rows.add((phrase, words[k + 1]))
+            yield strings(rows, "phrase", "beside")
 
-    return texts.select(F.col(text).alias("t")).dropna().distinct().mapInPandas(run, "phrase string, beside string").distinct()
+    return texts.select(F.col(text).alias("t")).dropna().distinct().mapInArrow(run, "phrase string, beside string").distinct()
 
 
 def affixes(edges: DataFrame, *, least: int = 6, part: float = 0.001) -> dict[str, int]:
@@ -236,9 +256,11 @@ def _company(texts: DataFrame, lexicon: Lexicon, plain, grade) -> tuple[dict, di
         for b in batches:
             rows = []
             for t, price in zip(b["t"], b["price"], strict=True):
-                hits = {bare(m[0]) for m in lexicon.pattern.finditer(t)}
+                found: list[str] = []
+                free = lexicon.pattern.sub(lambda m, found=found: found.append(m[0]) or " | ", t)
+                hits = {bare(x) for x in found}
                 said = sorted({kinds[h] for h in hits if h in kinds})
-                left = "".join(sorted(w for part in words_of(lexicon.pattern.sub(" | ", t), plain) for w in part))
+                left = "".join(sorted(w for part in words_of(free, plain) for w in part))
                 rows.append((f"{grade(t) if grade else ''}|{left}|{'+'.join(said)}", price, sorted(h for h in hits if h not in kinds), said))
             yield pd.DataFrame(rows, columns=["body", "price", "open", "said"])
 

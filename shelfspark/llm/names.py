@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import groupby
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.run import cut
-from .lexicon import Lexicon, bare, learn, loose, words_of
+from .lexicon import Lexicon, bare, learn, loose, strings, where_begun, words_of
 from .lookalike import canonical, one_form
 
 # Grades as they are written, longest first where one begins another.
@@ -93,6 +95,7 @@ class Name:
 
 _SCALE = re.compile(r"(?:(?<![\d/])1 ?[/:] ?(\d{2,3})(?!\d)|(\d{2,3})분의 ?1)(?: ?스케일| ?scale)?", re.I)
 _SIZE = re.compile(r"(?:약|높이|전고|全高|約)? ?(?<![/:\d.])(?<![/:] )(\d+(?:\.\d+)?) ?(cm|mm|센티|밀리)(?![a-z])", re.I)
+_UNIT = re.compile("[cm]m|센티|밀리", re.I)  # in every size
 _CODE = re.compile(r"(?<![A-Za-z0-9])(?!re 100)([A-Za-z]{2,3})(?:-| (?!\d+ ?(?:분의|cm|mm|센티)))(\d{2,4})([A-Za-z]?)(?![A-Za-z0-9/:.])", re.I)
 _SET = re.compile(r"x ?(\d)\b|(\d) ?(?:개|박스|체|体|個|箱|點|点)(?: ?(?:세트|묶음|セット))?|(?<![가-힣])(두|세|네|다섯) ?개 ?(?:묶음|세트)|(?:묶음|세트|セット)", re.I)
 _COUNT = {"두": "2", "세": "3", "네": "4", "다섯": "5"}
@@ -113,12 +116,13 @@ class Parser:
     lexicon: Lexicon = field(default_factory=Lexicon)
 
     def __post_init__(self) -> None:
-        self._grades = re.compile("|".join(rf"(?<![a-z0-9가-힣]){re.escape(g)}(?![a-z가-힣])" if g[-1].isascii() else re.escape(g) for g in sorted(GRADES, key=len, reverse=True)), re.I)
+        every = "|".join(rf"(?<![a-z0-9가-힣]){re.escape(g)}(?![a-z가-힣])" if g[-1].isascii() else re.escape(g) for g in sorted(GRADES, key=len, reverse=True))
+        self._grades = re.compile(where_begun("".join(sorted({g[0] for g in GRADES})), every), re.I)
 
     def plain(self, text: str) -> str:
         """A text in its one form with bars for grade, scale, size and number."""
         text = re.sub(r"^\[[A-Za-z]{2,4}\d*\]", "|", text).replace("(프라모델)", "|")
-        for p in (_SIZE, _CODE, _SCALE, self._grades):
+        for p in (*(_SIZE,) * bool(_UNIT.search(text)), _CODE, _SCALE, self._grades):
             text = p.sub("|", text)
         return text
 
@@ -150,7 +154,7 @@ class Parser:
             contents.append("decal")
             t = re.sub(r"\(본체 별매\)|(?:전 ?용 ?)?(?:습 ?식 ?)?데 ?칼|(?:専用)? ?(?:水転写)? ?デカール|decals?", " ", t, flags=re.I)
         size = ""
-        if m := _SIZE.search(t):
+        if _UNIT.search(t) and (m := _SIZE.search(t)):
             size = f"{float(m[1]) * (10 if m[2].lower() in ('cm', '센티') else 1):.0f}"
             t = _SIZE.sub(" ", t)
         if (m := _CODE.search(t)) and m[1].lower() != "ver":
@@ -225,20 +229,23 @@ _SOUND = str.maketrans("gdb", "ktp")
 def sound(key: str) -> str:
     """A key without what is often misheard: voicing, a glide after a consonant, a syllable said twice. No blanks
     inside a syllable; syllables stay apart."""
-    out: list[str] = []
-    for s in key.split():
-        s = s.translate(_SOUND)
-        if len(s) > 2 and s[1] == "y" and s[0] not in "aiueo":
-            s = s[0] + s[2:]
-        if not out or out[-1] != s:
-            out.append(s)
-    return " ".join(out)
+    return " ".join(s for s, _ in groupby(map(_soft, key.split())))
+
+
+@lru_cache(1 << 14)
+def _soft(syllable: str) -> str:
+    s = syllable.translate(_SOUND)
+    return s[0] + s[2:] if len(s) > 2 and s[1] == "y" and s[0] not in "aiueo" else s
 
 
 def spells(key: str) -> list[str]:
     """The sound of a key, first whole, then with each one of its syllables missing (of at least three left)."""
     s = sound(key).split()
-    less = [sound(" ".join(s[:i] + s[i + 1 :])) for i in range(len(s))] if len(s) > 3 else []
+    soft = [*map(_soft, s)] if len(s) > 3 else []
+    if soft == s:  # none is said twice but the two beside the one left out
+        less = [" ".join(s[:i] + s[i + 1 + (0 < i < len(s) - 1 and s[i - 1] == s[i + 1]) :]) for i in range(len(s))]
+    else:
+        less = [" ".join(x for x, _ in groupby(soft[:i] + soft[i + 1 :])) for i in range(len(soft))]
     return list(dict.fromkeys([" ".join(s), *less]))
 
 
@@ -250,23 +257,45 @@ def _bare(s: pd.Series) -> pd.Series:
     return s.map(lambda x: bare(one_form(x)), na_action="ignore")
 
 
+MARKS = 1 << 20
+
+
+def marks(texts: DataFrame, column: str) -> bytes:
+    """A bit for each hash that a text has: 128 kB for a table of any size. What has no bit isn't in the table."""
+    at = (F.crc32(F.encode(column, "UTF-8")) % MARKS + 1).alias("at")
+    got = texts.select(at).groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    found = {r["b"]: bytes(r["bits"]) for r in got.collect()}
+    return b"".join(found.get(b, bytes(4096)) for b in range(1, MARKS // 32768 + 1))
+
+
+def marked(bits: bytes, text: str) -> bool:
+    at = crc32(text.encode()) % MARKS
+    return bool(bits[at >> 3] >> (at & 7) & 1)
+
+
 def located(names: DataFrame, text: str, series: DataFrame | None, longest: int = 5) -> DataFrame:
     """(text, form, in_text): the distinct texts in their one form, with the series of ``series`` (a table of one column, of any
     size) that they hold as words. Computed once, for the lexicon and the parser."""
     forms = cut(names.select(F.col(text).alias("text")).dropna().distinct().select("text", canonical(F.col("text")).alias("form")))
     if series is None:
         return forms.withColumn("in_text", F.lit(None).cast("array<string>"))
-    known = series.toDF("s").dropna().distinct().select(_bare("s").alias("phrase")).filter(F.length("phrase") > 1).distinct()
+    known = cut(series.toDF("s").dropna().distinct().select(_bare("s").alias("phrase")).filter(F.length("phrase") > 1).distinct())
+    bits = marks(known, "phrase")
 
     def run(batches):  # noqa: ANN001, ANN202
         for b in batches:
             rows = set()
-            for t in b["form"]:
+            for t in b.column("form").to_pylist():
                 for words in words_of(t, lambda x: x):
-                    rows |= {(t, "".join(words[i:k])) for i in range(len(words)) for k in range(i + 1, min(i + longest, len(words)) + 1)}
-            yield pd.DataFrame(list(rows), columns=["form", "phrase"])
-
-    each = forms.select("form").distinct().mapInPandas(run, "form string, phrase string")
+                    for i in range(len(words)):
+                        phrase = ""
+                        for w in words[i : i + longest]:
+                            phrase += w
+                            if marked(bits, phrase):
+                                rows.add((t, phrase))
+            yield strings(rows, "form", "phrase")
+
+    each = forms.select("form").distinct().mapInArrow(run, "form string, phrase string")
     found = each.join(known, "phrase").groupBy("form").agg(F.collect_list("phrase").alias("in_text"))  # a text's few series
     return cut(forms.join(found, "form", "left").select("text", "form", "in_text"))
 

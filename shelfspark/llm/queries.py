@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.oracles import look_sql
-from ..plans.run import skew_aware, table
+from ..plans.run import cut, skew_aware, table
 from ..functions.looks import id_key
 from . import leaks, link, listings, lookalike, mixing, names, subjects
 
@@ -72,6 +72,7 @@ def unlinked(spark: SparkSession, d: str, *, known: bool = False) -> DataFrame:
     goods = goods.join(table(spark, d, "mall_link").select(F.col("gno").alias("item_key")).dropna().distinct(), "item_key", how)
     fed = table(spark, d, "feed").filter(F.col("id").startswith("jh-") & id_key(F.col("catalogId")).isNotNull())
     fed = fed.select(F.regexp_extract("id", r"^jh-[^-]*-(.+)$", 1).alias("item_key")).filter("item_key != ''").distinct()
+    fed = cut(fed)  # the mentions are read more than once
     codes = table(spark, d, "arrival_row").select(F.col("code").alias("item_key"), "name", "price", F.lit(None).cast("string").alias("series"))
     return goods.unionByName(codes.join(fed, "item_key", how))
 
@@ -83,8 +84,9 @@ def p2_links(spark: SparkSession, d: str, *, known: bool = False) -> DataFrame:
     each = F.explode(F.array("nameJa", "nameKo")).alias("name")
     records = catalog.select(F.col("id").alias("catalog_id"), each, "grade", "scale", F.col("priceJpy").alias("price"), F.col("seriesKo").alias("series"))
     mentions = unlinked(spark, d, known=known)
-    where = names.located(mentions.select("name").union(records.select("name")), "name", series_of(spark, d))
-    lexicon = names.lexicon_of(mentions.select(F.col("name").alias("text"), "price"), catalog_names(spark, d), where)
+    texts = cut(mentions.filter("name is not null").groupBy(F.col("name").alias("text")).agg(F.median("price").alias("price")))
+    where = names.located(texts.select("text").union(records.select("name")), "text", series_of(spark, d))
+    lexicon = names.lexicon_of(texts, catalog_names(spark, d), where)
     return link.link_mentions(mentions, records, where, lexicon)
 
 
